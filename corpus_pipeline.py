@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import langid, mixing, secrets, simhash
+from tidelog.llm import langid, mixing, pieces, secrets, simhash
 from tidelog.llm.common import written
-from tidelog.llm.queries import encoded
+from tidelog.llm.queries import MODEL
 
 #: SQL can neither fit a classifier nor search a lattice of pieces.
 ORACLE_SQL = None
@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each text, the N best segmentations, and whether decoding gives the text again."""
-    return encoded(docs)
+    return pieces.encode_documents(docs, MODEL)
 
 
 STAGES = [("language ID", identify_language), ("SimHash near-dedup", drop_near_copies), ("secret scan", mask_secrets), ("mixing", mix_sources), ("SentencePiece", encode_pieces)]

@@ -10,19 +10,21 @@ Characters without a piece score below every piece and are written as bytes.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import between, mix, prefix
 
 MARK, UNKNOWN, NBEST = "▁", -10.0, 4
 #: Characters handled at once; words longer than LONG are searched alone; distinct words that a worker remembers.
-CHUNK, LONG, REMEMBERED = 3_000_000, 64, 1_000_000
+CHUNK, LONG, REMEMBERED = 1_000_000, 64, 500_000
 ENCODED = "struct<ids:array<int>,nbest:array<struct<score:double,edits:array<struct<at:int,n:int,ids:array<int>>>>>>"
 _ARROW = pa.struct([("ids", pa.list_(pa.int32())), ("nbest", pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])))])))])
 
@@ -254,6 +256,30 @@ def encode_batch(v: Vocabulary, texts: list[str], nbest: int = NBEST) -> list[tu
     return out
 
 
+def _encoded(v: Vocabulary, texts: pa.Array, nbest: int) -> Iterator[tuple[list[str | None], pa.StructArray]]:
+    """Texts in chunks, each with its encoding, so that no more than a chunk's is held at once."""
+    empty = (np.empty(0, np.int32), [{"score": 0.0, "edits": []}])
+    at = 0
+    while at < len(texts) or not at:
+        rows, size = [], 0
+        while at < len(texts) and size < CHUNK:
+            rows.append(texts[at].as_py())
+            size, at = size + len(rows[-1] or ""), at + 1
+        done = iter(encode_batch(v, [t for t in rows if t], nbest)) if any(rows) else iter(())
+        got = [next(done) if t else None if t is None else empty for t in rows]
+        offsets = np.r_[0, np.cumsum([len(x[0]) if x else 0 for x in got])].astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([x[0] for x in got if x] or [empty[0]])))
+        others = pa.array([x and x[1] for x in got], _ARROW.field("nbest").type)
+        yield rows, pa.StructArray.from_arrays([ids, others], fields=list(_ARROW), mask=pa.array([x is None for x in got], pa.bool_()))
+        at = at or 1
+
+
+def _decoded(v: Vocabulary, lists: pa.Array) -> list[str | None]:
+    raw = v.raw.__getitem__
+    joined = (b"".join(map(raw, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else None for x in lists)
+    return [None if x is None else x[x[:1] == b" " :].decode("utf-8", "replace") for x in joined]
+
+
 @lru_cache(1)
 def _vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -268,28 +294,7 @@ def encode(text: Column, model: str, nbest: int = NBEST) -> Column:
     """
 
     def run(texts: pa.Array) -> pa.Array:
-        v, rows, held, size = _vocabulary(model), [], [], 0
-        empty = (np.empty(0, np.int32), [{"score": 0.0, "edits": []}])
-        ids, nb = [], []
-
-        def flush() -> None:
-            done = iter(encode_batch(v, [t for t in rows if t], nbest)) if any(rows) else iter(())
-            got = [next(done) if t else None if t is None else empty for t in rows]
-            flat = [x[0] for x in got if x]
-            offsets = np.r_[0, np.cumsum([len(x[0]) if x else 0 for x in got])].astype(np.int32)
-            ids.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32))))
-            nb.append(pa.array([x and x[1] for x in got], _ARROW.field("nbest").type))
-            held.extend(x is None for x in got)
-            rows.clear()
-
-        for t in texts:
-            rows.append(t.as_py())
-            size += len(rows[-1] or "")
-            if size > CHUNK:
-                flush()
-                size = 0
-        flush()
-        return pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(nb)], fields=list(_ARROW), mask=pa.array(held, pa.bool_()))
+        return pa.concat_arrays([x for _, x in _encoded(_vocabulary(model), texts, nbest)])
 
     return F.arrow_udf(run, ENCODED)(text)
 
@@ -298,13 +303,36 @@ def decode(ids: Column, model: str) -> Column:
     """The text of an array of ids; null for null. Bytes that aren't UTF-8 become U+FFFD, ids outside the vocabulary fail."""
 
     def run(lists: pa.Array) -> pa.Array:
-        raw = _vocabulary(model).raw.__getitem__
-        joined = (None if x is None else b"".join(map(raw, x)) for x in map(lambda x: x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else None, lists))
-        return pa.array([None if x is None else x[x[:1] == b" " :].decode("utf-8", "replace") for x in joined], pa.string())
+        return pa.array(_decoded(_vocabulary(model), lists), pa.string())
 
     return F.arrow_udf(run, "string")(ids)
 
 
+def encode_documents(docs: DataFrame, model: str, nbest: int = NBEST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``encode`` over a table: per row ``doc_id``, ``ids``, ``nbest`` and ``round_trip``, whether ``decode`` gives the text again.
+
+    Rows leave a task a chunk at a time, so long texts don't add up in memory. ``round_trip`` is false for texts that hold the word mark
+    itself and null for null texts. Repeated rows stay; other columns are ignored; an empty table gives no rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = _vocabulary(model)
+        for batch in batches:
+            at = 0
+            for rows, found in _encoded(v, batch.column(1), nbest):
+                ids, others = found.field(0), found.field(1)
+                back = [None if t is None else t == x for t, x in zip(rows, _decoded(v, ids), strict=True)]
+                missing = found.is_null()
+                if any(t is None for t in rows):
+                    ids, others = pc.if_else(missing, None, ids), pc.if_else(missing, None, others)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), ids, others, pa.array(back, pa.bool_())], names=["doc_id", "ids", "nbest", "round_trip"])
+                at += len(rows)
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    inner = ENCODED.removeprefix("struct<").removesuffix(">").split(",", 1)
+    return rows.mapInArrow(run, ", ".join(["doc_id long", *[x.replace(":", " ", 1) for x in inner], "round_trip boolean"]))
+
+
 def segmentation(ids: Column, nbest: Column, k: int) -> Column:
     """The ids of the k-th best segmentation, counted from 0; null if there are fewer."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))

@@ -15,15 +15,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def encoded(docs: DataFrame, model: str = MODEL, nbest: int = pieces.NBEST) -> DataFrame:
-    """``doc_id``, ``ids``, ``nbest`` and whether decoding the ids gives the text again."""
-    rows = docs.select("doc_id", "text", pieces.encode(F.col("text"), model, nbest).alias("p"))
-    rows = rows.select("doc_id", "text", F.col("p.ids").alias("ids"), F.col("p.nbest").alias("nbest"))
-    return rows.select("doc_id", "ids", "nbest", pieces.decode(F.col("ids"), model).eqNullSafe(F.col("text")).alias("round_trip"))
-
-
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded(_table(spark, sf_dir, "documents"))
+    return pieces.encode_documents(_table(spark, sf_dir, "documents"), MODEL)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
