@@ -165,7 +165,7 @@ def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     parts, keys = [p for p, _ in heads], [k for _, k in heads]
     # a range's first is the guest of the range before it; the very first is that of the last
     hosts = dict(zip(keys, parts[-1:] + parts[:-1], strict=True))
-    host = F.create_map(*[F.lit(x) for kv in hosts.items() for x in kv]) if hosts else F.create_map().cast("map<long,int>")
+    host = F.create_map(*[x for k, p in hosts.items() for x in (F.lit(k).cast("long"), F.lit(p))]) if hosts else F.create_map().cast("map<long,int>")
     rows = docs.select(key.alias("key"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("part", part_of("key"))
     stay, visit = F.struct("part", F.lit(False).alias("guest")), F.struct(host[F.col("key")].alias("part"), F.lit(True).alias("guest"))
     rows = rows.select("key", "doc_id", "text", F.explode(F.array_compact(F.array(stay, F.when(visit["part"].isNotNull(), visit)))).alias("at"))

@@ -89,6 +89,8 @@ def _locate(docs: list[tuple[int, list[bytes], dict]]) -> list[np.ndarray]:
     coded = [tuple(ids.setdefault(w, len(ids) + 1) for w in words) for _, words, _ in docs]
     patterns: dict[tuple, list[int]] = {}
     for (_, words, firsts), code in zip(docs, coded, strict=True):
+        if len(words) < WINDOW:  # a row that only shares another's doc_id
+            continue
         p, at, firsts_at = Passages(words), None, []
         # passages that follow one another make one pattern
         for start, n, key in zip([*p.start.tolist(), -1], [*p.n.tolist(), 0], [*zip(p.anchor.tolist(), p.content.tolist(), strict=True), None], strict=True):

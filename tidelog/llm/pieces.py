@@ -102,14 +102,20 @@ class Vocabulary:
                 into.append((end - 1, self.unknown, -1 - ord(word[end - 1])))
             edges.append(into)
             best.append(max(best[i] + s for i, s, _ in into))
-        agenda, found = [(-best[-1], (), len(word), 0.0)], []
+        # paths share their ends as linked cells; of equal ones the latest found goes on first
+        agenda, found, pushed = [(-best[-1], 0, len(word), 0.0, None)], [], 0
         while agenda and len(found) < n:
-            _, path, at, score = heapq.heappop(agenda)
+            _, _, at, score, path = heapq.heappop(agenda)
             if not at:
-                found.append((score, path))
+                spelt = []
+                while path:
+                    k, path = path
+                    spelt.append(k)
+                found.append((score, spelt))
                 continue
             for i, s, k in edges[at - 1]:
-                heapq.heappush(agenda, (-(best[i] + s + score), (k, *path), i, s + score))
+                pushed -= 1
+                heapq.heappush(agenda, (-(best[i] + s + score), pushed, i, s + score, (k, path)))
         return [(float(score), tuple(x for k in path for x in ((k,) if k >= 0 else self.as_bytes(chr(-1 - k))))) for score, path in found]
 
     def look_up(self, codes: np.ndarray, name: np.ndarray, start: np.ndarray, size: np.ndarray, spell) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
