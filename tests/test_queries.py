@@ -3,8 +3,9 @@
 import duckdb
 import pytest
 
-from tidelog.plans.queries import QUERIES, SQL
+from tidelog.plans import extraction, queries
 
+QUERIES, SQL = queries.QUERIES | extraction.QUERIES, queries.SQL | extraction.SQL
 DIR = "/root/testdata/sf0.001"
 
 

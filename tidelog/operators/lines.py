@@ -188,6 +188,33 @@ def blocks_by_size(lines: DataFrame, budget: int = 15_000) -> DataFrame:
     return each.groupBy("run_id", "block_no").agg((F.min("i") + 1).alias("lo"), (F.max("i") + 1).alias("hi"))
 
 
+def line_time(x: Column, year: int = 2026) -> Column:
+    """Seconds a line's stamp stands for: since the start (``12.3s``), or since 1970 for dates; those without a year are of ``year``."""
+    month = F.to_timestamp(F.try_to_timestamp(F.concat(F.regexp_extract(x, r"^([A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})", 1), F.lit(f" {year}")), F.lit("MMM d HH:mm:ss yyyy")))
+    iso = F.replace(F.regexp_extract(x, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?)", 1), F.lit("T"), F.lit(" ")).try_cast("timestamp")
+    return F.coalesce(t.elapsed_seconds(x), month.cast("double"), iso.cast("double"))
+
+
+def blocks_by_time(lines: DataFrame, seconds: float = 3000) -> DataFrame:
+    """Blocks that close with the line ``seconds`` or more after their start; lines without a time have that before them.
+
+    The next block starts at that line's time, so a run's times are folded in order, inside the JVM.
+    """
+    last = F.last(line_time(F.col("line")), ignorenulls=True).over(_run())
+    timed = lines.select("run_id", "pos", last.alias("at"))
+    first = F.min_by("at", F.when(F.col("at").isNotNull(), F.col("pos"))).over(Window.partitionBy("run_id"))
+    timed = timed.select("run_id", "pos", F.coalesce(F.col("at") - first, F.lit(0.0)).alias("at"))
+    each = timed.groupBy("run_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "at"))), lambda x: x["at"]).alias("times"))
+    start = F.struct(F.lit(0).alias("block"), F.get("times", F.lit(0)).alias("since"), F.expr("cast(array() as array<int>)").alias("out"))
+
+    def step(a: Column, at: Column) -> Column:
+        closes = at - a["since"] >= seconds
+        return F.struct(F.when(closes, a["block"] + 1).otherwise(a["block"]).alias("block"), F.when(closes, at).otherwise(a["since"]).alias("since"), F.array_append(a["out"], a["block"]).alias("out"))
+
+    rows = each.select("run_id", F.posexplode(F.aggregate("times", start, step, lambda a: a["out"])).alias("i", "block_no"))
+    return rows.groupBy("run_id", "block_no").agg((F.min("i") + 1).alias("lo"), (F.max("i") + 1).alias("hi"))
+
+
 def route(lines: DataFrame) -> DataFrame:
     """Each run's characters and route by size."""
     n = lines.groupBy("run_id").agg(F.sum(F.length("line")).alias("chars"))
