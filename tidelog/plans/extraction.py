@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import clusters, commands, traces, values
+from ..operators import clusters, commands, paste, traces, values
 from ..operators import lines as ln
 from . import compress
 from .queries import EVENTS, event_log
@@ -55,6 +55,7 @@ QUERIES = {
     "trace_records": lambda s, d: traces.extract_traces(fault_log(s, d)).where("id IS NOT NULL").select("run_id", "id", "summary", "value"),
     "value_lines": lambda s, d: values.kept_lines(values.extract_values(event_log(s, d))),
     "value_store": lambda s, d: values.to_store(values.records(values.extract_values(event_log(s, d)))),
+    "value_footers": lambda s, d: paste.footer(event_texts(s, d), values.records(values.extract_values(event_log(s, d)))),
     "line_clusters": lambda s, d: clusters.cluster_lines(event_log(s, d)),
     "templates": lambda s, d: clusters.templates(clusters.cluster_lines(event_log(s, d))),
     "template_runs": lambda s, d: clusters.template_runs(clusters.cluster_lines(event_log(s, d))),
