@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_hot, written
 from .rolling import between, prefix
 
 WINDOW, GRAM = 50, 12
@@ -149,18 +149,18 @@ def deduplicate_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     texts_of = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     passages = texts_of.where("doc_id IS NOT NULL").mapInPandas(_all_passages, "doc_id long, anchor long, content long")
     recurring = passages.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    recurring = written(passages.join(recurring, "anchor"), "passages")
+    recurring = written(join_hot(passages, recurring, ["anchor"]), "passages")
     # each passage's first document; passages of anchors with more than one passage are compared window by window
     variants = recurring.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     variants = written(variants, "variants")
     many = variants.groupBy("anchor").count().where("count > 1").select("anchor")
-    single = variants.join(many, "anchor", "left_anti").where("first < last").select("anchor", "content", F.array("first").alias("firsts"))
-    several = variants.join(many, "anchor")
+    single = join_hot(variants, many, ["anchor"], "left_anti").where("first < last").select("anchor", "content", F.array("first").alias("firsts"))
+    several = join_hot(variants, many, ["anchor"])
     asked = several.groupBy(F.col("first").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "content")).alias("asked"))
     windows = texts_of.join(asked, "doc_id", "left").select("text", "asked").mapInPandas(_windows, "anchor long, content long, place int, window long")
     windows = windows.join(several, ["anchor", "content"])
     firsts = windows.groupBy("anchor", "window").agg(F.min("first").alias("least"))
-    each = windows.join(firsts, ["anchor", "window"]).groupBy("anchor", "content").agg(F.sort_array(F.collect_list(F.struct("place", "least"))).alias("x"))
+    each = join_hot(windows, firsts, ["anchor", "window"]).groupBy("anchor", "content").agg(F.sort_array(F.collect_list(F.struct("place", "least"))).alias("x"))
     # a passage of one window says so twice: a list of one stands for all of a passage's windows
     compared = each.select("anchor", "content", F.col("x.least").alias("firsts"))
     found = recurring.join(single.union(compared), ["anchor", "content"]).where(F.array_min("firsts") < F.col("doc_id"))
