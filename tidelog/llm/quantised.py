@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_hot, written
 from .components import connected_components
 
 COSINE, SEED = 0.98, 5
@@ -175,8 +175,8 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     turn = lambda g, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(g)).cast("int")
     every = lambda g: F.explode(F.sequence(F.lit(0), F.col(g) - 1))
     cols = ["node", "n", "embedding"]
-    members = probed.withColumn("list", F.col("home")).join(grid, key).select(*key, *cols, turn("gm", 1).alias("bm"), every("gq").alias("bq"), F.lit(True).alias("member"))
-    queries = probed.withColumn("list", F.explode("lists")).join(grid, key).select(*key, *cols, every("gm").alias("bm"), turn("gq", 2).alias("bq"), F.lit(False).alias("member"))
+    members = join_hot(probed.withColumn("list", F.col("home")), grid, key).select(*key, *cols, turn("gm", 1).alias("bm"), every("gq").alias("bq"), F.lit(True).alias("member"))
+    queries = join_hot(probed.withColumn("list", F.explode("lists")), grid, key).select(*key, *cols, every("gm").alias("bm"), turn("gq", 2).alias("bq"), F.lit(False).alias("member"))
     schema = "node long, other long, links long"
     found = written(members.union(queries).groupBy(*key, "bm", "bq").applyInPandas(lambda pdf: _rerank(pdf, models, least, reach), schema), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

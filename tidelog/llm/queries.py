@@ -77,6 +77,13 @@ each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FRO
 kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS t, count(*) AS n FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i WHERE g.i IS NULL GROUP BY e.doc_id)
 SELECT words.doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id"""
 
+#: Five hexadecimal digits of a digest are four of base 32.
+_OP10 = """WITH p AS (SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS kept FROM pages),
+d AS (SELECT *, sha1(body) AS hex FROM p)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(hex, (5 * (i // 4) + 1)::INT, 5) AS BIGINT) >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS payload_digest,
+CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to FROM d"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secrets": secrets.oracle(), "op5_embedding_dedup": _OP5, "op7_substring_dedup": _OP7}
+    return {"op4_secrets": secrets.oracle(), "op5_embedding_dedup": _OP5, "op7_substring_dedup": _OP7, "op10_warc": _OP10}

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_runs, written
+from .common import join_hot, whole_runs, written
 from .components import connected_components
 
 RADIUS, SEGMENTS, SHINGLE, SEED = 3, 2, 3, 42
@@ -126,7 +126,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = connected_components(hamming_links(distinct))
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(roots, "root").select("fp", "component_id")
+    named = join_hot(rooted, roots, ["root"]).select("fp", "component_id")
     return marks.join(named, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 

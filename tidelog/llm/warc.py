@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import join_hot, new_path, written
 
 LEVEL, ARCHIVE_BYTES = 1, 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -147,7 +147,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     keep = rows.groupBy("sha1").agg(F.max("page_id").alias("keep"))
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    index = rows.join(keep, "sha1").select("page_id", "url", "html", "keep", "captured_at").mapInPandas(lambda b: _write(b, folder), _INDEX)
+    index = join_hot(rows, keep, ["sha1"]).select("page_id", "url", "html", "keep", "captured_at").mapInPandas(lambda b: _write(b, folder), _INDEX)
     return written(index, "captures")
 
 
