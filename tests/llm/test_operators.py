@@ -192,6 +192,28 @@ def test_passages(spark):
     assert phrases.deduplicate_passages(_docs(spark, []), texts=False).count() == 0
 
 
+def test_passages_first_in_a_repeated_row(spark):
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(500)}" for _ in range(n)]
+    shared, rows = words(130), []
+    for i in range(24):  # edited copies; the first document, and some others, are repeated rows or two rows of one doc_id
+        own = [w if not i or j != 5 * i + 3 else "edited" for j, w in enumerate(shared)]
+        rows += [(i, " ".join(words(7) + own + words(9)))] * (2 if i % 3 == 0 else 1)
+    rows.append((0, " ".join(words(4) + shared)))
+    first = {}
+    for i, t in rows:
+        w = t.split()
+        for a in range(len(w) - 49):
+            first[tuple(w[a : a + 50])] = min(i, first.get(tuple(w[a : a + 50]), i))
+    want = []
+    for i, t in rows:
+        w = t.split()
+        gone = {b for a in range(len(w) - 49) if first[tuple(w[a : a + 50])] < i for b in range(a, a + 50)}
+        want.append((i, len(w), len(gone), " ".join(x for b, x in enumerate(w) if b not in gone)))
+    got = [tuple(r) for r in phrases.deduplicate_passages(_docs(spark, rows)).collect()]
+    assert sorted(got) == sorted(want) and sum(x[2] for x in want) > 1000
+
+
 def test_pieces_against_the_library(spark):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as proto

@@ -160,7 +160,8 @@ def deduplicate_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     windows = texts_of.join(asked, "doc_id", "left").select("text", "asked").mapInPandas(_windows, "anchor long, content long, place int, window long")
     windows = windows.join(several, ["anchor", "content"])
     firsts = windows.groupBy("anchor", "window").agg(F.min("first").alias("least"))
-    each = join_hot(windows, firsts, ["anchor", "window"]).groupBy("anchor", "content").agg(F.sort_array(F.collect_list(F.struct("place", "least"))).alias("x"))
+    each = join_hot(windows, firsts, ["anchor", "window"]).groupBy("anchor", "content").agg(F.sort_array(F.collect_set(F.struct("place", "least"))).alias("x"))
+    # a set, as each row of a first document's doc_id that holds the passage gives its windows again;
     # a passage of one window says so twice: a list of one stands for all of a passage's windows
     compared = each.select("anchor", "content", F.col("x.least").alias("firsts"))
     found = recurring.join(single.union(compared), ["anchor", "content"]).where(F.array_min("firsts") < F.col("doc_id"))
