@@ -16,17 +16,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEYWORDS = "|".join(["[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]", "[Pp][Aa][Ss][Ss][Ww][Dd]", "[Ss][Ee][Cc][Rr][Ee][Tt]", "[Tt][Oo][Kk][Ee][Nn]", "[Aa][Pp][Ii]_?[Kk][Ee][Yy]"])
+KEY_BEGIN, KEY_END, CODE = "-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----", "-{5,}END [A-Z ]{0,32}PRIVATE KEY-----", "[A-Za-z0-9+/=]"
+#: A token of base64: 20 characters or more. Spelt out, as RE2 multiplies nested counts.
+LONG = CODE * 20 + CODE + "*"
+#: From BEGIN to its END, with no other five dashes between; without END, headers and the base64 that follows: whole lines, or up to
+#: 200 tokens with other marks between (indents, quotes, escapes), and a short last line. Java recurs for each turn of a group, so the
+#: groups have bounds; the characters of a body and the lines of base64 have none.
+PRIVATE_KEY = (
+    f"{KEY_BEGIN}(?:[^-]*(?:--?-?-?[^-]+){{0,500}}{KEY_END}"
+    f"|(?:\\s*[A-Za-z-]+: [^\\r\\n]*){{0,8}}(?:[\\r\\n][A-Za-z0-9+/=\\r\\n]*{LONG}|(?:[^A-Za-z0-9+/=]+{LONG}){{1,200}})(?:\\r?\\n{CODE}{{1,19}}(?:\\r?\\n|$))?)?"
+)
 #: kind, pattern (for Java, RE2 and Python alike), group that is measured, its least length; spans sort by this order too.
 RULES = [
     ("assign", f"({KEYWORDS})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
     ("access", "AKIA[A-Z0-9]+", 0, 18),
     ("hex", "[0-9a-f]{16,}", 0, 16),  # of all runs, those of 16 or more
-    ("private_key", "-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----", 0, 0),
+    ("private_key", PRIVATE_KEY, 0, 0),
     ("code_host", "gh[opsu]_[A-Za-z0-9]{36,}", 0, 0),
     ("chat", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
     ("cloud_key", "AIza[A-Za-z0-9_-]{35}", 0, 0),
     ("web_token", "eyJ[A-Za-z0-9_-]{10,}[.]eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}", 0, 0),
-    ("url_login", "[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~%-]{1,64}:[A-Za-z0-9._~%!$&*+-]{1,64}@", 0, 0),
+    ("url_login", "[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~%-]+:[A-Za-z0-9._~%!$&*+-]+@", 0, 0),
 ]
 BASE = ("assign", "access", "hex")
 BLOCK_BITS, MOST_STRINGS = 12, 64
