@@ -282,6 +282,13 @@ def test_language(spark):
     assert {(r["lang_pred"], r["score"]) for r in none} == {("und", 0.0)} and langid.identify(_docs(spark, [])).count() == 0
 
 
+def test_language_sample_is_spread_evenly(spark):
+    sizes = {f"l{i:02d}": 2000 + 400 * i for i in range(12)}
+    rows = spark.createDataFrame([(k, f"{k} {i}") for k, n in sizes.items() for i in range(n)], "lang string, text string").withColumn("h", F.xxhash64("text"))
+    got = {r["lang"]: r["count"] for r in langid._spread(rows, sizes, 6000).groupBy("lang").count().collect()}
+    assert sum(got.values()) == 6000 and min(got.values()) > 400 and max(got.values()) < 600
+
+
 def test_parsing(spark):
     rng = random.Random(9)
     text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))

@@ -117,6 +117,14 @@ def learnable(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2
 
 
+def _spread(rows: DataFrame, sizes: dict[str, int], max_train: int) -> DataFrame:
+    """At most ``max_train`` rows, by ``h`` as a share of their language's threshold, so that each gives up the same part of its own."""
+    each = max(1, max_train // len(sizes))
+    low = F.create_map(*[F.lit(x) for k in sorted(sizes) for x in (k, min(1.0, 1.1 * each / sizes[k]))])
+    part = (F.shiftrightunsigned("h", 11) / float(1 << 53)) / F.element_at(low, F.col("lang"))
+    return rows.where(part < 1).orderBy(part, "h", "lang").limit(max_train)
+
+
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_train: int = MAX_TRAIN) -> Model:
     """Learn from texts with letters and their non-null languages in documents that ``learnable`` names.
 
@@ -133,10 +141,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     df = np.zeros(BUCKETS + 1)
     for r in rows.select("text").mapInPandas(_document_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         df[r["bucket"]] = r["n"]
-    each = max(1, max_train // len(languages))
-    low = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, 1.1 * each / sizes[k]))])
-    chance = (F.shiftrightunsigned("h", 11) / float(1 << 53)) < F.element_at(low, F.col("lang"))
-    sample = rows.where(chance).orderBy("h", "lang").limit(max_train).mapInPandas(_sparse, "h long, lang string, at binary, n binary").collect()
+    sample = _spread(rows, sizes, max_train).mapInPandas(_sparse, "h long, lang string, at binary, n binary").collect()
     model = Model(languages, np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1, np.zeros((BUCKETS + 1, len(languages))))
     features = [model.features(np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["n"], np.uint32)) for r in sorted(sample, key=lambda r: (r["h"], r["lang"]))]
     labels = np.array([languages.index(r["lang"]) for r in sorted(sample, key=lambda r: (r["h"], r["lang"]))])
