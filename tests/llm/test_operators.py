@@ -75,14 +75,30 @@ def test_hamming_search_in_large_buckets():
 
 def test_targets_and_knapsack():
     assert mixing.targets({"a": 10, "b": 10, None: 100}) == {"a": 22.5, "b": 30.0, None: 67.5}
+
+
+def _best(lengths, counts, budget):
+    sums = {0}
+    for length, n in zip(lengths, counts):
+        sums = {s + k * length for s in sums for k in range(n + 1) if s + k * length <= budget}
+    return max(sums)
+
+
+def test_knapsack_against_all_sums():
     rng = random.Random(4)
-    for _ in range(200):
-        lengths = rng.sample(range(1, 30), 4)
-        counts = [rng.randrange(4) for _ in lengths]
-        budget = rng.randrange(60)
-        best = max(s for n in itertools.product(*[range(c + 1) for c in counts]) if (s := sum(a * b for a, b in zip(n, lengths))) <= budget)
-        got = mixing.knapsack(lengths, counts, budget)
-        assert sum(a * b for a, b in zip(got, lengths)) == best and all(a <= b for a, b in zip(got, counts))
+    for case in range(1000):
+        top = rng.choice([12, 60, 9000])
+        lengths = sorted(rng.sample(range(1, top), rng.randrange(1, 6)))
+        counts = [rng.randrange(1, 5) for _ in lengths]
+        total = sum(a * b for a, b in zip(lengths, counts))
+        target = rng.choice([rng.random() * total, rng.randrange(total + 1), total * (1 + rng.random())])
+        copies, more = mixing.fit(np.array(lengths), np.array(counts), target, first=rng.choice([1, 16, 4096]))
+        assert copies == int(target // total) and all(0 <= a <= b for a, b in zip(more, counts))
+        assert sum(a * b for a, b in zip(more, lengths)) == _best(lengths, counts, int(target - copies * total)), (lengths, counts, target)
+    for lengths, counts, target in [([4000, 5000, 7000], [1, 1, 1], 9000), ([3000, 5000], [5, 5], 20000), ([5000, 7000, 9000], [1, 1, 1], 12000)]:
+        assert mixing.fit(np.array(lengths), np.array(counts), target)[1] @ np.array(lengths) == target
+    many = np.arange(1, 20_000)
+    assert mixing.fit(many, np.full(len(many), 1000), 10**10 + 7)[1] @ many == 10**10 + 7
 
 
 def test_mixing(spark):
@@ -92,12 +108,20 @@ def test_mixing(spark):
     assert len(got) == len(rows) and sum(r["size"] for r in got) == sum(len((t or "").split()) for _, t, *_ in rows)
     for s in {r["source"] for r in got}:
         own = [r for r in got if r["source"] == s]
-        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1 and all(0 <= r["taken"] <= 3 * r["size"] for r in own)
+        assert 0 <= own[0]["target"] - sum(r["taken"] for r in own) < 1 and all(0 <= r["taken"] <= 3 * r["size"] for r in own)
     again = mixing.mix(_docs(spark, rows[::-1])).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mixing.mix(_docs(spark, [])).count() == 0
-    out = mixing.mixed(_docs(spark, rows))
-    assert out.columns == _docs(spark, rows).columns and out.count() == sum(max(x["copies"] for x in got if x["doc_id"] == r["doc_id"]) for r in got if r["size"] and r["doc_id"] is not None)
+    for r in got:
+        assert r["source_size"] == sum(x["size"] for x in got if x["source"] == r["source"])
+    odd = _docs(spark, rows).withColumns({"_copies": F.lit(1), "tmp0": F.lit("x"), "copies": F.lit(2), "TMP1": F.lit(3)})
+    out = mixing.mixed(odd)
+    assert out.columns == odd.columns
+    kept, want = out.groupBy("doc_id", "text").count().collect(), {}
+    for (i, t, *_), r in zip(sorted(rows, key=lambda x: (str(x[0]), len((x[1] or "").split()))), sorted(got, key=lambda x: (str(x["doc_id"]), x["size"]))):
+        want[i, t] = want.get((i, t), 0) + (r["copies"] if r["size"] else 0)
+    assert {(r["doc_id"], r["text"]): r["count"] for r in kept} == {k: n for k, n in want.items() if n}
+    assert mixing.mixed(_docs(spark, [])).count() == 0
 
 
 def test_secrets(spark):

@@ -1,22 +1,23 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 A source's whole copies come first; what is left of its target is filled from a count of its documents by exact length: a
-proportional share of each length, then the largest remainders, then a bounded-knapsack dynamic program over the last
-``DP_BUDGET`` words. Within a length, seeded hashes say which documents are taken.
+proportional share of each length, then the largest remainders. A bounded-knapsack dynamic program over the lengths then
+closes what remains, taking further documents and handing back some of those taken, so that the source's total is the
+largest that does not exceed its target. Within a length, seeded hashes say which documents are taken.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count, written
+from .common import free_names, word_count, written
 
-MOST_COPIES, DP_BUDGET, SEED = 3, 4096, 7
+MOST_COPIES, SEED = 3, 7
+#: Words that the dynamic program's tables span at first; they grow as long as a better total may lie beyond.
+FIRST_SPAN = 4096
 
 
 def targets(sizes: dict, weights: dict | None = None, most: int = MOST_COPIES) -> dict:
@@ -34,91 +35,145 @@ def targets(sizes: dict, weights: dict | None = None, most: int = MOST_COPIES) -
         fixed |= above
 
 
-def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many of each length, at most its count, have the largest sum that does not exceed the budget."""
-    reach, whole, steps = 1, (1 << (budget + 1)) - 1, []
-    for i, (length, n) in enumerate(zip(lengths, counts, strict=True)):
-        n, size = min(n, budget // length), 1
-        while n > 0 and not reach >> budget & 1:
-            size = min(size, n)
-            steps.append((i, size, reach))
-            reach |= reach << length * size & whole
-            n, size = n - size, size * 2
-    taken, at = [0] * len(lengths), reach.bit_length() - 1
-    for i, size, before in reversed(steps):
-        if not before >> at & 1:
-            taken[i] += size
-            at -= lengths[i] * size
-    return taken
-
-
-def fit(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = MOST_COPIES) -> tuple[int, np.ndarray]:
-    """Whole copies of every document, and how many documents of each length are taken once more."""
+class Sums:
+    """Sums up to ``span`` that counted lengths reach, and the step that first reached each."""
+
+    def __init__(self, span: int):
+        self.reach, self.step, self.steps = np.zeros(span + 1, bool), np.zeros(span + 1, np.int32), [(0, 0, 0)]
+        self.reach[0] = True
+
+    def add(self, i: int, length: int, count: int) -> None:
+        """Up to ``count`` documents of a length, in halving lots."""
+        n, lot = min(count, (len(self.reach) - 1) // length), 1
+        while n > 0:
+            lot = min(lot, n)
+            self.steps.append((i, lot, length * lot))
+            new = np.flatnonzero(self.reach[: len(self.reach) - length * lot] & ~self.reach[length * lot :]) + length * lot
+            self.reach[new], self.step[new] = True, len(self.steps) - 1
+            n, lot = n - lot, lot * 2
+
+    def taken(self, total: int, out: np.ndarray) -> None:
+        while total:
+            i, lot, words = self.steps[self.step[total]]
+            out[i] += lot
+            total -= words
+
+
+def knapsack(lengths: np.ndarray, free: np.ndarray, held: np.ndarray, gap: int, first: int = FIRST_SPAN) -> np.ndarray:
+    """By how much the number taken of each length changes so that the sum grows most without growing by more than ``gap``.
+
+    ``free`` more documents of a length can be taken, ``held`` can be handed back. Both are tabled up to a span of words. A change
+    of the best kind, its takings and returns so ordered that its partial sums stay within two of the longest lengths, needs no
+    partial sum twice; so a span of twice the longest length squared holds one, and the result is the best there is. Nearly
+    always the gap closes within the first span.
+    """
+    unit = int(np.gcd.reduce(lengths[(free + held) > 0])) if ((free + held) > 0).any() else 1
+    lengths, gap = lengths // unit, gap // unit
+    used = np.flatnonzero((free + held) > 0)
+    if not gap or not len(used):
+        return np.zeros(len(lengths), np.int64)
+    whole = int(max((lengths * free).sum(), (lengths * held).sum()))
+    most, span = min(whole, 2 * int(lengths[used].max()) ** 2), first
+    while True:
+        span = min(max(span, 2 * gap), max(most, gap))
+        more, back = Sums(span), Sums(span)
+        for i in used[np.argsort(lengths[used], kind="stable")].tolist():
+            if lengths[i] > span:
+                break
+            more.add(i, int(lengths[i]), int(free[i]))
+            back.add(i, int(lengths[i]), int(held[i]))
+            if (more.reach[gap:] & back.reach[: span + 1 - gap]).any():
+                break
+        best = next((g for g in range(gap, 0, -1) if (more.reach[g:] & back.reach[: span + 1 - g]).any()), 0)
+        if best == gap or span >= most:
+            out, less = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+            given = int(np.flatnonzero(more.reach[best:] & back.reach[: span + 1 - best])[0])
+            more.taken(given + best, out)
+            back.taken(given, less)
+            return out - less
+        span *= 16
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = MOST_COPIES, first: int = FIRST_SPAN) -> tuple[int, np.ndarray]:
+    """Whole copies of every document, and how many documents of each length are taken once more: the most words within the target."""
     total = int((lengths * counts).sum())
     if not total:
         return 0, np.zeros(len(counts), np.int64)
     copies = min(most, int(target // total))
-    left = 0 if copies == most else int(round(target - copies * total))
+    left = 0 if copies == most else int(target - copies * total)
     share = counts * (left / total)
     more = np.where(lengths > 0, np.minimum(np.floor(share).astype(np.int64), counts), 0)
     left -= int((more * lengths).sum())
     for i in np.lexsort((-lengths, more - share)):
-        if left <= DP_BUDGET:
-            break
         if 0 < lengths[i] <= left and more[i] < counts[i]:
             more[i] += 1
             left -= int(lengths[i])
-    for i in np.argsort(-lengths, kind="stable"):  # only if rounding left more than the remainders hold
-        if left <= DP_BUDGET or not lengths[i]:
-            break
-        n = min(int(counts[i] - more[i]), left // int(lengths[i]))
-        more[i], left = more[i] + n, left - n * int(lengths[i])
-    fits = np.flatnonzero((lengths > 0) & (lengths <= left) & (more < counts))
-    if left > 0 and len(fits):
-        more[fits] += knapsack([int(x) for x in lengths[fits]], [int(x) for x in (counts - more)[fits]], min(left, DP_BUDGET))
+    for i in np.argsort(-lengths, kind="stable"):
+        if lengths[i]:
+            n = min(int(counts[i] - more[i]), left // int(lengths[i]))
+            more[i], left = more[i] + n, left - n * int(lengths[i])
+    real = lengths > 0
+    more[real] += knapsack(lengths[real], (counts - more)[real], more[real], left, first)
     return copies, more
 
 
+def _copies(rows: DataFrame, weights: dict | None, doc_id: str, text: str, source: str, seed: int, most: int, wide: bool) -> tuple[DataFrame, dict[str, str]]:
+    """Rows with the plan's columns, and the names that these have."""
+    name = dict(zip(["id", "s", "size", "h", "cell", "source_size", "target", "copies", "room", "count"], free_names(rows, 10), strict=True))
+    n = lambda k: F.col(name[k])
+    h = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
+    keyed = rows.select(*(["*"] if wide else []), F.col(doc_id).alias(name["id"]), F.col(source).cast("string").alias(name["s"]), word_count(F.col(text)).alias(name["size"]), h.alias(name["h"]))
+    keyed = keyed.withColumn(name["cell"], F.shiftrightunsigned(n("h"), 56).cast("int"))
+    if not wide:
+        keyed = written(keyed, "mix")
+    key = [name["s"], name["size"], name["cell"]]
+    cells = written(keyed.groupBy(*key).agg(F.count("*").alias(name["count"])), "cells")
+    sizes = {r[0]: int(r[1] or 0) for r in cells.groupBy(name["s"]).agg(F.sum(n("size") * n("count"))).collect()}
+    goals = targets(sizes, weights, most) if sizes else {}
+
+    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = pdf[name["s"]].iat[0]
+        s = None if pd.isna(s) else s
+        pdf = pdf.sort_values(name["size"])
+        copies, more = fit(pdf[name["size"]].to_numpy(), pdf[name["count"]].to_numpy(), goals[s], most)
+        return pd.DataFrame({"s": [s] * len(pdf), "size": pdf[name["size"]], "source_size": sizes[s], "target": goals[s], "copies": copies, "more": more})
+
+    lengths = cells.groupBy(*key[:2]).agg(F.sum(n("count")).alias(name["count"]))
+    plans = lengths.groupBy(name["s"]).applyInPandas(plan, "s string, size long, source_size long, target double, copies int, more long")
+    same = lambda a, b, pairs: F.expr(" AND ".join(f"{a}.`{x}` <=> {b}.`{y}`" for x, y in pairs))
+    upto = F.sum(n("count")).over(Window.partitionBy(*key[:2]).orderBy(key[2]).rowsBetween(Window.unboundedPreceding, 0))
+    cells = cells.withColumn("upto", upto).alias("c").join(plans.alias("p"), same("c", "p", [(name["s"], "s"), (name["size"], "size")]))
+    room = F.col("more") - F.col("upto") + n("count")
+    cells = cells.select(*[F.col(f"c.{k}").alias(f"{k}_") for k in key], *[F.col(f"p.{k}").alias(name[k]) for k in ("source_size", "target", "copies")], room.alias(name["room"]), n("count"))
+    joined = keyed.alias("r").join(cells.alias("c"), same("r", "c", [(k, f"{k}_") for k in key])).drop(*[f"{k}_" for k in key])
+    cut = (n("room") > 0) & (n("room") < n("count"))
+    turn = F.row_number().over(Window.partitionBy(*key, F.when(~cut, n("h"))).orderBy(name["h"]))
+    more = F.when(cut, turn <= n("room")).otherwise(n("room") > 0).cast("int")
+    return joined.withColumn(name["copies"], n("copies") + more), name
+
+
 def mix(docs: DataFrame, weights: dict | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, most: int = MOST_COPIES) -> DataFrame:
     """How often the mix takes each document; one row per row of ``docs``.
 
     Returns ``doc_id``, ``source``, ``size`` (words), ``source_size``, ``target`` (its source's), ``copies`` and ``taken``
-    (``copies * size``). Null and empty texts have size 0 and nothing is taken of them; a null source is a source of
-    its own, the last. Equal documents are told apart by nothing, so which of a document's repeated rows is taken is left open,
-    how many is not. An empty table gives no rows. Hashes follow seed and doc_id alone, so reruns agree.
-    The driver gets one row per source; a task gets one source's distinct lengths, or a 256th of the documents of
-    one source and length.
+    (``copies * size``). A source's taken words are the most that do not exceed its target. Null and empty texts have size 0 and
+    nothing is taken of them; a null source is a source of its own, the last. Equal documents are told apart by nothing, so which of
+    a document's repeated rows is taken is left open, how many is not. An empty table gives no rows. Hashes follow seed, doc_id and text
+    alone, so reruns agree. The driver gets one row per source; a task gets one source's distinct lengths, or a 256th of the
+    documents of one source and length.
     """
-    h = F.xxhash64(F.lit(seed), F.col(doc_id))
-    rows = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), h.alias("h"), F.shiftrightunsigned(h, 56).cast("int").alias("cell")), "mix")
-    cells = written(rows.groupBy("source", "size", "cell").count(), "cells")
-    sizes = {r["source"]: int(r["n"] or 0) for r in cells.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("n")).collect()}
-    goals = targets(sizes, weights, most) if sizes else {}
-
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf["source"].iat[0]
-        name = None if pd.isna(name) else name
-        pdf = pdf.sort_values("size")
-        copies, more = fit(pdf["size"].to_numpy(), pdf["count"].to_numpy(), goals[name], most)
-        return pd.DataFrame({"source": [name] * len(pdf), "size": pdf["size"], "source_size": sizes[name], "target": goals[name], "copies": copies, "more": more})
-
-    lengths = cells.groupBy("source", "size").agg(F.sum("count").alias("count"))
-    plans = lengths.groupBy("source").applyInPandas(plan, "source string, size long, source_size long, target double, copies int, more long")
-    same = lambda a, b, *keys: F.expr(" AND ".join(f"{a}.{k} <=> {b}.{k}" for k in keys))
-    cells = cells.withColumn("upto", F.sum("count").over(Window.partitionBy("source", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)))
-    cells = cells.alias("c").join(plans.alias("p"), same("c", "p", "source", "size")).select("c.source", "c.size", "c.cell", "source_size", "target", "copies", (F.col("more") - F.col("upto") + F.col("count")).alias("room"), "count")
-    joined = rows.alias("r").join(cells.alias("c"), same("r", "c", "source", "size", "cell")).select("r.*", "source_size", "target", "copies", "room", (F.expr("room > 0 AND room < count")).alias("cut"))
-    turn = F.row_number().over(Window.partitionBy("source", "size", "cell", F.when(F.col("cut"), F.lit(None)).otherwise(F.col("h"))).orderBy("h", "doc_id"))
-    more = F.when(~F.col("cut"), F.col("room") > 0).otherwise(turn <= F.col("room")).cast("int")
-    out = joined.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") + more).alias("copies"))
+    found, name = _copies(docs, weights, doc_id, text, source, seed, most, wide=False)
+    out = found.select(F.col(name["id"]).alias("doc_id"), F.col(name["s"]).alias("source"), *[F.col(name[k]).alias(k) for k in ("size", "source_size", "target", "copies")])
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def mixed(docs: DataFrame, weights: dict | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as ``mix`` takes it, all columns kept; rows taken no times go.
+def mixed(docs: DataFrame, weights: dict | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, most: int = MOST_COPIES) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as ``mix`` takes it, all columns kept whatever their names; rows taken no times go.
 
-    Rows that share a doc_id share the larger number of copies. Rows without doc_id or words are left out.
+    Decisions are per row: rows without doc_id and repeated rows are taken as they were counted. Rows without words go. An empty table
+    gives no rows.
     """
-    found = mix(docs, weights, doc_id, text, source, seed).where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(found, docs[doc_id] == found["_id"]).select(*names, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_turn")).drop("_turn")
+    found, name = _copies(docs, weights, doc_id, text, source, seed, most, wide=True)
+    times, turn = F.col(name["copies"]), free_names(found, 1)[0]
+    found = found.where((F.col(name["size"]) > 0) & (times > 0)).withColumn(turn, F.explode(F.sequence(F.lit(1), times)))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
