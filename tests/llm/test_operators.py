@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidelog.llm import langid, mixing, parsing, phrases, pieces, quantised, secrets, sharding, simhash, warc
+from tidelog.llm.common import new_path
 from tidelog.llm.components import connected_components
 from tidelog.llm.queries import MODEL
 
@@ -348,12 +349,44 @@ def test_warc(spark):
         best[h or ""] = max((x for x in (i, best.get(h or "")) if x is not None), default=None)
     want = [(i, len((h or "").encode()), warc.base32_sha1((h or "").encode()), "response" if best[h or ""] == i else "revisit", None if best[h or ""] == i else best[h or ""]) for i, _, h in rows]
     assert sorted(str(tuple(r)[:5]) for r in got) == sorted(map(str, want))
+    keys = [(r["url_key"], r["captured_at"], r["page_id"] is not None, r["page_id"] or 0) for r in sorted(got, key=lambda r: r["position"])]
+    assert keys == sorted(keys) and sorted(r["position"] for r in got) == list(range(len(rows)))
     assert warc.archive_pages(pages.limit(0)).count() == 0
-    from tidelog.llm.common import new_path
-
     folder = new_path(spark, "warc")
-    index = warc.write_archives(pages, folder if "://" in folder else f"file://{folder}")
-    history = [tuple(r)[:3] for r in warc.capture_history(index).collect()]
-    assert history == sorted(history, key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0))
-    texts = {r["page_id"]: r["html"] for r in warc.read_archives(index, folder if "://" in folder else f"file://{folder}").collect()}
+    found = warc.captures(warc.capture_history(warc.write_archives(pages, folder), folder), folder)
+    texts = {r["page_id"]: r["html"] for r in warc.read_archives(found, folder).collect()}
     assert texts[2] == "<p>é</p>" and texts[1] is None and texts[5] == "only"
+
+
+@pytest.mark.parametrize("fan,range_blocks", [(4, 2), (64, 256)])
+def test_runs_are_merged_level_by_level(spark, fan, range_blocks):
+    rng = random.Random(11)
+    rows = [(i, f"http://h{min(rng.randrange(40), 20)}.example/{rng.randrange(5)}", f"page {rng.randrange(900)}") for i in range(3000)]
+    folder = new_path(spark, "warc")
+    blocks = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, archive_bytes=8000, block_rows=16)
+    assert blocks.select("run").distinct().count() > 16
+    found = warc.captures(warc.capture_history(blocks, folder, fan, range_blocks, 16), folder).collect()
+    found.sort(key=lambda r: r["position"])
+    assert [r["position"] for r in found] == list(range(len(rows)))
+    assert [(r["url_key"], r["captured_at"], r["page_id"]) for r in found] == sorted((warc.url_key(u), i, i) for i, u, _ in rows)
+
+
+def test_folders_by_path_and_uri(tmp_path):
+    for folder in (f"{tmp_path}", f"file:{tmp_path}", f"file://{tmp_path}", f"file:///{tmp_path}"):
+        store, root = warc.shared(folder)
+        store.create_dir(f"{root}/x")
+        assert (tmp_path / "x").is_dir() and root.replace("//", "/") == f"{tmp_path}"
+    assert "://" not in warc.shared("/a/b")[1]
+
+
+def test_archives_without_a_set_folder():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from tidelog.llm import warc
+print(warc.archive_pages(s.createDataFrame([(1, "http://a.b/", "x")], "page_id long, url string, html string")).collect()[0]["record_type"])"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True)
+    assert out.stdout.strip() == "response", out.stderr[-2000:]

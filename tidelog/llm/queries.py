@@ -53,7 +53,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "position")
 
 
 def queries() -> dict:
@@ -77,12 +77,14 @@ each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FRO
 kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS t, count(*) AS n FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i WHERE g.i IS NULL GROUP BY e.doc_id)
 SELECT words.doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id"""
 
-#: Five hexadecimal digits of a digest are four of base 32.
-_OP10 = """WITH p AS (SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS kept FROM pages),
-d AS (SELECT *, sha1(body) AS hex FROM p)
+#: Five hexadecimal digits of a digest are four of base 32. URLs as these tables have them: a scheme, a host, maybe a port, path, query.
+_OP10 = r"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS kept FROM pages),
+u AS (SELECT *, sha1(body) AS hex, lower(array_to_string(list_reverse(string_split(regexp_extract(url, '^\w+://([^/:?#]*)', 1), '.')), ',')) AS host, regexp_extract(url, '^(\w+)://[^/:?#]*(:\d+)?([^?#]*)(\?[^#]+)?', ['scheme', 'port', 'path', 'query']) AS x FROM p),
+d AS (SELECT *, host || CASE WHEN (x.scheme = 'http' AND x.port = ':80') OR (x.scheme = 'https' AND x.port = ':443') THEN '' ELSE x.port END || ')' || CASE WHEN x.path = '' THEN '/' ELSE lower(x.path) END || lower(x.query) AS url_key FROM u)
 SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
 array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(hex, (5 * (i // 4) + 1)::INT, 5) AS BIGINT) >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS payload_digest,
-CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to FROM d"""
+CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to,
+row_number() OVER (ORDER BY coalesce(url_key, ')/'), page_id % 4000000000, page_id) - 1 AS position FROM d"""
 
 
 def oracle_sql() -> dict[str, str]:
