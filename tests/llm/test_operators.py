@@ -293,6 +293,41 @@ def test_pieces_against_the_library(spark):
     assert tuple(row) == ("some words here",) * 3 + (None,)
 
 
+def test_searched_words_are_bounded_by_characters():
+    v = pieces.Vocabulary(MODEL)
+    rng = random.Random(12)
+    long = ["".join(rng.choices("abcdefghij", k=20_000)) for _ in range(3)]
+    texts = [" ".join(["".join(rng.choices("abcdefghij", k=30)) for _ in range(200)] + [x]) for x in long]
+    pieces.encode_batch(v, texts, 4)
+    assert v.searched and all(len(w) <= pieces.LONG for w, _ in v.searched) and v.searched_chars == sum(len(w) for w, _ in v.searched)
+    v.searched_chars = pieces.SEARCHED + 1
+    v.search("another", 2)
+    assert list(v.searched) == [("another", 2)]
+
+
+def test_pieces_against_all_paths_of_the_lattice():
+    """The best paths over the whole text, position by position, as the slow twin of the search by words."""
+    v, rng = pieces.Vocabulary(MODEL), random.Random(13)
+    words = "the of and running quickly unbelievable xyzzy Äpfel straße 42 3.14 can't end. (see) foo_bar \u4e2d\u6587 \U0001f600 aaaa".split()
+    for n in (1, 3, 5):
+        texts = [rng.choice(["", " "]) + rng.choice([" ", "  "]).join(rng.choices(words, k=rng.randrange(1, 12))) for _ in range(60)]
+        for t, (ids, nbest) in zip(texts, pieces.encode_batch(v, texts, n)):
+            marked = (pieces.MARK + t).replace(" ", pieces.MARK)
+            best = [[(0.0, ())]]
+            for end in range(1, len(marked) + 1):
+                into = [(s + v.scores[k], (*path, k)) for i in range(max(0, end - v.longest), end) if (k := v.ids.get(marked[i:end])) is not None for s, path in best[i]]
+                if marked[end - 1] not in v.ids:
+                    into += [(s + v.unknown, path + tuple(v.as_bytes(marked[end - 1]))) for s, path in best[end - 1]]
+                best.append(sorted(into, reverse=True)[:n])
+            want = [s for s, _ in best[-1]]
+            assert np.allclose([x["score"] for x in nbest], want, rtol=0, atol=1e-5), t
+            as_bytes = set(v.bytes.values())
+            cost = sum(v.scores[i] for i in ids.tolist() if i not in as_bytes) + v.unknown * sum(c not in v.ids for c in marked)
+            assert abs(cost - want[0]) < 1e-5, t
+            spelt = b"".join(v.raw[i] for i in ids.tolist()).decode()
+            assert spelt == " " + t
+
+
 def test_language(spark):
     rng = random.Random(8)
     words = {"aa": ["bada", "gudu", "lomo"], "bb": ["xyzx", "qwqw", "zzyx"]}

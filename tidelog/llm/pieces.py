@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .rolling import between, mix, prefix
 
 MARK, UNKNOWN, NBEST = "▁", -10.0, 4
-#: Characters handled at once; words longer than LONG are searched alone; distinct words that a worker remembers.
-CHUNK, LONG, REMEMBERED = 1_000_000, 64, 500_000
+#: Characters handled at once; words longer than LONG are searched alone; distinct words, and characters of searched words, that a worker remembers.
+CHUNK, LONG, REMEMBERED, SEARCHED = 1_000_000, 64, 500_000, 2_000_000
 ENCODED = "struct<ids:array<int>,nbest:array<struct<score:double,edits:array<struct<at:int,n:int,ids:array<int>>>>>>"
 _ARROW = pa.struct([("ids", pa.list_(pa.int32())), ("nbest", pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])))])))])
 
@@ -67,7 +67,8 @@ class Vocabulary:
                 n += 1
             self.slots[slot + n - 1], self.probes = i, max(self.probes, n)
         self.keys, self.values = np.append(self.keys, np.uint64(0)), np.append(self.values, np.int32(-1))
-        self.search = lru_cache(1 << 16)(self._search)
+        self.searched: dict[tuple[str, int], list] = {}
+        self.searched_chars = 0
         self.forget()
 
     def forget(self) -> None:
@@ -93,8 +94,20 @@ class Vocabulary:
         found = [self.bytes.get(b) for b in char.encode()]
         return [self.unknown_id] if None in found else found
 
+    def search(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The n best segmentations, best first; those of words of up to LONG characters are remembered, up to SEARCHED characters in all."""
+        if len(word) > LONG:
+            return self._search(word, n)
+        found = self.searched.get((word, n))
+        if found is None:
+            if self.searched_chars > SEARCHED:
+                self.searched, self.searched_chars = {}, 0
+            found = self.searched[word, n] = self._search(word, n)
+            self.searched_chars += len(word)
+        return found
+
     def _search(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations, best first: forward Viterbi, then A* from the end with its scores as heuristic."""
+        """Forward Viterbi, then A* from the end with its scores as heuristic."""
         best, edges = [0.0], []
         for end in range(1, len(word) + 1):
             into = [(i, self.scores[k], k) for i in range(max(0, end - self.longest), end) if (k := self.ids.get(word[i:end])) is not None]
