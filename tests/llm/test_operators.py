@@ -193,15 +193,19 @@ def test_trigram_queries_are_mandatory(pattern):
             assert any(all(x in t.lower() for x in c) for c in query)
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("centroids", [1024, 3])
+def test_embeddings(spark, centroids):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(40, 16))
     rows = [(i, [float(x) for x in base[i % 40] + rng.normal(size=16) * 0.08], i % 3) for i in range(200)]
     rows += [(300 + i, rows[0][1], 0) for i in range(20)] + [(400, None, 1), (401, [], 1), (402, [0.0] * 16, 1), (403, [float("nan")] * 16, 1), (404, [1.0] * 16, None), (405, [1.0] * 16, None), (406, [1.0, 2.0], 1), (407, [2.0, 4.0], 1), (None, [1.0] * 16, 1), (408, [1.0, None], 1)]
-    got = {r["vec_id"]: r for r in quantised.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("same", F.lit("clash"))).collect()}
-    ok = [(i, np.array(v), k) for i, v, k in rows if i is not None and k is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    # the same directions, so large or small that their squares are infinite or zero
+    rows += [(500 + i, [x * scale for x in rows[i][1]], i % 3) for i in range(9) for scale in [(1e-170, 1e170, 1e-300)[i % 3]]] + [(600, [1e-170] * 16, 1), (601, [5e-324] * 16, 1), (602, [1.7e308] * 16, 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("same", F.lit("clash")).withColumn("node", F.lit(1))
+    got = {r["vec_id"]: r for r in quantised.near_duplicates(table, centroids=centroids).collect()}
+    ok = [(i, np.array(v) / max(map(abs, v)), k) for i, v, k in rows if i is not None and k is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     links = {i: {j for j, w, m in ok if i != j and k == m and len(v) == len(w) and v @ w / np.sqrt((v @ v) * (w @ w)) >= 0.98} for i, v, k in ok}
-    assert len(got) == len(rows) and sum(map(len, links.values())) > 400
+    assert len(got) == len(rows) and sum(map(len, links.values())) > 400 and links[600] >= {601, 602} and 500 in links[0]
     for i, v, k in rows:
         if i is not None:
             seen, todo = {i}, [i]
@@ -211,6 +215,24 @@ def test_embeddings(spark):
                 todo += new
             assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(links.get(i, ())), min(seen), i == min(seen))
     assert (got[None]["n_links"], got[None]["component_id"]) == (0, None)
+    assert quantised.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_probes_and_tables_lose_nothing():
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(600, 12)) * np.linspace(2, 0.1, 12)
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    x = np.concatenate([x, x[:300] + rng.normal(size=(300, 12)) * 0.03])
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    near = np.sqrt(np.maximum(2 - 2 * x @ x.T, 0)) <= 0.2
+    for coarse, fine in [(1, 1), (20, 1), (10, 6)]:
+        model = quantised.Quantiser(x, coarse, fine)
+        home = model.assign(x)
+        asked = {(int(v), int(i)) for v, i in zip(*model.probes(x, 0.2))}
+        assert all((int(a), int(home[b])) in asked for a, b in zip(*np.nonzero(near)))
+        code, error = model.encode(x, home)
+        true = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        assert (np.abs(model.distances(x, home, code) - true) <= error[None] + 1e-3).all()
 
 
 def test_sharding(spark):

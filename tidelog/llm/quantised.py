@@ -1,9 +1,10 @@
 """Embedding near-dedup by product quantisation.
 
-Unit vectors go to the inverted list of their nearest coarse centroid; what the centroid leaves is coded in subspaces. A
-vector asks every list whose cell may hold something within the distance that the cosine allows: by the triangle inequality no other
-list can. There, distances come from a table for each subspace and code; a vector is ruled out only where its table
-distance exceeds the allowed one by more than its own coding error. What is left gets its exact cosine, so no link is lost.
+Unit vectors go to inverted lists: cells around coarse centroids, each cut, for large tables, by a second set of centroids that all
+cells share. What the centroids leave is coded in subspaces. Codes are sent to every list whose cell may hold something within
+the distance that the cosine allows: by the triangle inequality no other list can. There, each vector of the list holds its table
+of products with all codes against the coded ones; one is ruled out only where its table distance exceeds the allowed one by
+more than its own coding error. Whole vectors are fetched for what is left alone, and their exact cosines decide, so no link is lost.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, written
+from .common import discard, join_hot, written
 from .components import connected_components
 
 COSINE, SEED = 0.98, 5
-#: Vectors that centroids and codes are fitted on, at most; vectors for each list, about; subspaces; codes; members and queries in a task's block.
-MAX_TRAIN, IN_LIST, SUBSPACES, CODES, BLOCK = 20_000, 400, 8, 256, 2048
+#: Vectors that centroids and codes are fitted on, at most; centroids of each of the two levels, at most; subspaces; codes; members and queries in a task's block.
+MAX_TRAIN, CENTROIDS, SUBSPACES, CODES, BLOCK = 20_000, 1024, 8, 256, 2048
+#: Members of a list that travel as one row, at most; what each member takes.
+PACK, PACKED = 512, np.dtype([("node", "<i8"), ("list", "<i4"), ("error", "<f4"), ("code", "u1", SUBSPACES)])
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -42,55 +45,99 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = SEED) -> np.ndar
 
 
 class Quantiser:
-    """Coarse centroids and residual codebooks for vectors of one length."""
+    """Centroids of two levels and residual codebooks for vectors of one length."""
 
-    def __init__(self, x: np.ndarray, lists: int):
-        self.coarse = k_means(x, lists)
+    def __init__(self, x: np.ndarray, coarse: int, fine: int = 1):
+        self.coarse = k_means(x, coarse)
         rest = x - self.coarse[_nearest(x, self.coarse)]
+        self.fine = k_means(rest, fine) if fine > 1 else np.zeros((1, x.shape[1]))
+        rest = rest - self.fine[_nearest(rest, self.fine)]
         self.cuts = [(int(p[0]), int(p[-1]) + 1) for p in np.array_split(np.arange(x.shape[1]), min(SUBSPACES, x.shape[1]))]
         self.codes = [k_means(rest[:, a:b], CODES) for a, b in self.cuts]
 
+    def centre(self, lists: np.ndarray) -> np.ndarray:
+        return self.coarse[lists // len(self.fine)] + self.fine[lists % len(self.fine)]
+
     def assign(self, x: np.ndarray) -> np.ndarray:
-        return _nearest(x, self.coarse)
+        i = _nearest(x, self.coarse)
+        return i * len(self.fine) + _nearest(x - self.coarse[i], self.fine)
 
-    def probes(self, x: np.ndarray, home: np.ndarray, reach: float) -> np.ndarray:
-        """Lists whose cells come within ``reach`` of each vector, as a boolean matrix."""
-        c = self.coarse
+    @staticmethod
+    def _cells(x: np.ndarray, c: np.ndarray, home: np.ndarray, reach: float) -> np.ndarray:
+        """Cells of centroids c that come within ``reach`` of each vector, as a boolean matrix."""
         far = (c * c).sum(1)[None] - 2 * x @ c.T
         apart = np.sqrt(np.maximum(((c[home][:, None] - c[None]) ** 2).sum(2), 0))
         # the border between the home cell and another is the plane halfway between their centroids
         return far - far[np.arange(len(x)), home][:, None] <= 2 * apart * (reach + 1e-6)
 
-    def encode(self, x: np.ndarray, home: int) -> tuple[np.ndarray, np.ndarray]:
+    def probes(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a vector and a list that may hold something within ``reach`` of it."""
+        v, i = np.nonzero(self._cells(x, self.coarse, _nearest(x, self.coarse), reach))
+        if len(self.fine) == 1:
+            return v, i
+        rest, out = x[v] - self.coarse[i], []
+        for at in range(0, len(rest), 512):
+            part = rest[at : at + 512]
+            k, j = np.nonzero(self._cells(part, self.fine, _nearest(part, self.fine), reach))
+            out.append(np.stack([v[at + k], i[at + k] * len(self.fine) + j]))
+        v, i = np.concatenate(out, 1) if out else np.empty((2, 0), np.int64)
+        return v, i
+
+    def encode(self, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of each vector's residual, and how far the coded vector is from it."""
-        rest = x - self.coarse[home]
-        code = np.stack([_nearest(rest[:, a:b], book) for (a, b), book in zip(self.cuts, self.codes, strict=True)], 1)
-        back = np.concatenate([book[code[:, s]] for s, book in enumerate(self.codes)], 1)
-        return code, np.sqrt(((rest - back) ** 2).sum(1))
-
-    def distances(self, x: np.ndarray, home: int, code: np.ndarray) -> np.ndarray:
-        """Asymmetric distances from whole vectors to coded members of a list, summed from tables."""
-        rest, out = (x - self.coarse[home]).astype(np.float32), np.zeros((len(x), len(code)), np.float32)
+        rest = x - self.centre(home)
+        code = np.zeros((len(x), SUBSPACES), np.uint8)
+        for s, ((a, b), book) in enumerate(zip(self.cuts, self.codes, strict=True)):
+            code[:, s] = _nearest(rest[:, a:b], book)
+        return code, np.sqrt(((x - self.decode(home, code)) ** 2).sum(1))
+
+    def decode(self, home: np.ndarray, code: np.ndarray) -> np.ndarray:
+        return self.centre(home) + np.concatenate([book[code[:, s]] for s, book in enumerate(self.codes)], 1)
+
+    def distances(self, x: np.ndarray, home: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Asymmetric distances from whole vectors to coded ones of any lists, summed from each vector's table of products with the codes."""
+        centres, which = np.unique(home, return_inverse=True)
+        out = (x @ self.centre(centres).T).astype(np.float32)[:, which]
         for s, ((a, b), book) in enumerate(zip(self.cuts, self.codes, strict=True)):
-            part, book = rest[:, a:b], book.astype(np.float32)
-            table = (part * part).sum(1)[:, None] - 2 * part @ book.T + (book * book).sum(1)[None]
-            out += table[:, code[:, s]]
-        return np.sqrt(np.maximum(out, 0))
+            out += (x[:, a:b] @ book.T).astype(np.float32)[:, code[:, s]]
+        coded = self.decode(home, code)
+        return np.sqrt(np.maximum((x * x).sum(1)[:, None].astype(np.float32) + (coded * coded).sum(1)[None].astype(np.float32) - 2 * out, 0))
 
 
 def _unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors times powers of two, so that no square over- or underflows, and unit vectors."""
     x = np.stack(vectors.to_list()).astype(np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
     return x, x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _probe(batches: Iterator[pd.DataFrame], models: dict[int, Quantiser], reach: float) -> Iterator[pd.DataFrame]:
+def _home(batches: Iterator[pd.DataFrame], models: dict[int, Quantiser]) -> Iterator[pd.DataFrame]:
+    """Each vector's own list."""
     for batch in batches:
         for size, part in batch.groupby(batch["embedding"].map(len)):
+            yield part.assign(dim=size, list=models[size].assign(_unit(part["embedding"])[1]))
+
+
+def _probe(batches: Iterator[pd.DataFrame], models: dict[int, Quantiser], reach: float) -> Iterator[pd.DataFrame]:
+    """Codes of vectors for each list that they probe, packed."""
+    for batch in batches:
+        for (size, label), part in batch.groupby([batch["embedding"].map(len), "label"]):
+            model, packs = models[size], []
             for at in range(0, len(part), 1024):
                 rows = part.iloc[at : at + 1024]
-                _, x = _unit(rows["embedding"])
-                home = models[size].assign(x)
-                yield pd.DataFrame({"node": rows["node"], "label": rows["label"], "n": rows["n"], "embedding": rows["embedding"], "dim": size, "home": home, "lists": [np.flatnonzero(p).tolist() for p in models[size].probes(x, home, reach)]})
+                x, home = _unit(rows["embedding"])[1], rows["list"].to_numpy()
+                own = np.empty(len(rows), PACKED)
+                own["node"], own["list"] = rows["node"], home
+                own["code"], own["error"] = model.encode(x, home)
+                v, lists = model.probes(x, reach)
+                packs.append((lists, own[v]))
+            lists, own = (np.concatenate(c) for c in zip(*packs, strict=True))
+            order = np.argsort(lists, kind="stable")
+            lists, own = lists[order], own[order]
+            cuts = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
+            cuts = np.concatenate([np.arange(a, b, PACK) for a, b in zip(cuts, np.r_[cuts[1:], len(lists)], strict=True)])
+            packed = [own[a:b].tobytes() for a, b in zip(cuts, np.r_[cuts[1:], len(lists)], strict=True)]
+            yield pd.DataFrame({"label": label, "dim": size, "list": lists[cuts], "n": np.diff(np.r_[cuts, len(lists)]), "salt": own["node"][cuts], "pack": packed})
 
 
 def _local(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -106,56 +153,75 @@ def _local(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         least = new
 
 
-def _rerank(pdf: pd.DataFrame, models: dict[int, Quantiser], least: float, reach: float) -> pd.DataFrame:
-    """One list's block: each query's number of links, and links that connect what the block connects."""
-    home, dim = int(pdf["list"].iat[0]), int(pdf["dim"].iat[0])
-    members, queries = pdf[pdf["member"]], pdf[~pdf["member"]]
-    none = pd.DataFrame({"node": [], "other": [], "links": []}).astype({"node": "int64", "other": "int64", "links": "int64"})
-    if not len(members) or not len(queries):
-        return none
-    raw_m, m = _unit(members["embedding"])
-    code, error = models[dim].encode(m, home)
-    mid, weight, out = members["node"].to_numpy(), members["n"].to_numpy(), []
-    for at in range(0, len(queries), 512):
-        raw_q, q = _unit(queries["embedding"].iloc[at : at + 512])
-        qid = queries["node"].to_numpy()[at : at + 512]
-        i, j = np.nonzero(models[dim].distances(q, home, code) <= reach + error[None].astype(np.float32) + 1e-3)
-        cosine = np.concatenate([(raw_q[i[s : s + 65536]] * raw_m[j[s : s + 65536]]).sum(1) for s in range(0, len(i), 65536)] or [np.empty(0)])
-        cosine /= np.sqrt((raw_q * raw_q).sum(1))[i] * np.sqrt((raw_m * raw_m).sum(1))[j]
-        near = (cosine >= least) & (qid[i] != mid[j])
-        i, j = i[near], j[near]
-        if not len(i):
-            continue
-        links = np.bincount(i, weight[j], len(qid)).astype(np.int64)
-        names = np.unique(np.r_[qid[i], mid[j]])
-        a, b = np.searchsorted(names, qid[i]), np.searchsorted(names, mid[j])
-        root = names[_local(a, b, len(names))]
-        out.append(pd.DataFrame({"node": names, "other": root, "links": 0}))
-        found = np.flatnonzero(links)
-        out.append(pd.DataFrame({"node": qid[found], "other": qid[found], "links": links[found]}))
-    return pd.concat(out) if out else none
-
-
-def fit(vectors: DataFrame, total: int, max_train: int = MAX_TRAIN) -> dict[int, Quantiser]:
-    """A quantiser for each length, fitted on at most ``max_train`` vectors, those with the least hashes, and one vector of each length."""
+def _survivors(pdf: pd.DataFrame, models: dict[int, Quantiser], reach: float) -> pd.DataFrame:
+    """One block of a list: the members and the queries that the tables leave a pair of."""
+    packs, queries = pdf["pack"].dropna(), pdf[pdf["pack"].isna()]
+    where = {c: pdf[c].iat[0] for c in ("label", "dim", "list", "bm", "bq")}
+    out = []
+    if len(packs) and len(queries):
+        model = models[int(where["dim"])]
+        members = np.frombuffer(b"".join(packs), PACKED)
+        for at in range(0, len(queries), 512):
+            part = queries.iloc[at : at + 512]
+            ids = part["node"].to_numpy(np.int64)
+            near = model.distances(_unit(part["embedding"])[1], members["list"], members["code"]) <= reach + members["error"][None] + 1e-3
+            near &= ids[:, None] != members["node"][None]
+            out += [(x, False) for x in ids[near.any(1)].tolist()] + [(x, True) for x in members["node"][near.any(0)].tolist()]
+    found = pd.DataFrame(out, columns=["node", "member"]).drop_duplicates()
+    return found.assign(**where)
+
+
+def _rerank(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """One block's survivors: each query's number of links by exact cosine, and links that connect what the block connects."""
+    members, queries, out = pdf[pdf["member"]], pdf[~pdf["member"]], []
+    if len(members) and len(queries):
+        m, mid, weight = _unit(members["embedding"])[0], members["node"].to_numpy(), members["n"].to_numpy()
+        size = np.sqrt((m * m).sum(1))
+        for at in range(0, len(queries), 512):
+            q, qid = _unit(queries["embedding"].iloc[at : at + 512])[0], queries["node"].to_numpy()[at : at + 512]
+            cosine = (q @ m.T) / (np.sqrt((q * q).sum(1))[:, None] * size[None])
+            # sums of products in another order may differ in the last places: those near the border are summed again, one by one
+            i, j = np.nonzero(cosine >= least - 1e-9)
+            close = np.flatnonzero(cosine[i, j] < least + 1e-9)
+            exact = np.array([(q[a] * m[b]).sum() / math.sqrt((q[a] * q[a]).sum() * (m[b] * m[b]).sum()) for a, b in zip(i[close], j[close], strict=True)])
+            keep = np.ones(len(i), bool)
+            keep[close] = exact >= least
+            keep &= qid[i] != mid[j]
+            i, j = i[keep], j[keep]
+            if not len(i):
+                continue
+            links = np.bincount(i, weight[j], len(qid)).astype(np.int64)
+            names = np.unique(np.r_[qid[i], mid[j]])
+            root = names[_local(np.searchsorted(names, qid[i]), np.searchsorted(names, mid[j]), len(names))]
+            found = np.flatnonzero(links)
+            out += [pd.DataFrame({"node": names, "other": root, "links": 0}), pd.DataFrame({"node": qid[found], "other": qid[found], "links": links[found]})]
+    return pd.concat(out) if out else pd.DataFrame({"node": [], "other": [], "links": []}).astype("int64")
+
+
+def fit(vectors: DataFrame, total: int, max_train: int = MAX_TRAIN, centroids: int = CENTROIDS) -> dict[int, Quantiser]:
+    """A quantiser for each length, fitted on at most ``max_train`` vectors, those with the least hashes, and one vector of each length.
+
+    There are about as many lists as the square root of ``total``: up to ``centroids`` by coarse centroids, beyond that each cut by finer ones.
+    """
     rows = vectors.select("embedding", F.size("embedding").alias("dim"), F.xxhash64("node").alias("h"))
     sample = rows.where((F.shiftrightunsigned("h", 11) / float(1 << 53)) < min(1.0, 1.2 * max_train / max(total, 1))).orderBy("h").limit(max_train).select("dim", "embedding").collect()
     found = {r["dim"]: [r["embedding"]] for r in rows.groupBy("dim").agg(F.first("embedding").alias("embedding")).collect()}
     for r in sample:
         found[r["dim"]].append(r["embedding"])
-    lists = max(1, min(1024, math.isqrt(total)))
-    return {k: Quantiser(_unit(pd.Series(v))[1], min(lists, max(1, len(v) // 8))) for k, v in sorted(found.items())}
+    wanted = max(1, math.isqrt(total))
+    coarse = min(centroids, wanted)
+    return {k: Quantiser(_unit(pd.Series(v))[1], min(coarse, max(1, len(v) // 8)), min(centroids, wanted // coarse, max(1, len(v) // 8))) for k, v in sorted(found.items())}
 
 
-def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = COSINE) -> DataFrame:
+def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = COSINE, centroids: int = CENTROIDS) -> DataFrame:
     """Link vectors of equal, non-null labels whose cosine in double precision is ``least`` or more.
 
     One row per row of ``table``: ``vec_id``, ``n_links`` (other rows linked directly), ``component_id`` (smallest vec_id reachable, itself
     included), ``kept`` (vec_id = component_id). Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
     vectors of different lengths; rows without vec_id link with nothing and have neither component nor ``kept``. A vec_id names one vector:
     rows that repeat it with the same label and vector count as linked copies. Other columns are ignored; an empty table gives no rows. Equal
-    vectors are handled once, with their number; within a list blocks of members meet blocks of queries, and each gives
-    counts and a spanning forest, never all pairs.
+    vectors are handled once, with their number; cosines hold for vectors however large or small. Within a list blocks of coded members meet
+    blocks of queries, and each gives the names of what is left, then counts and a spanning forest, never all pairs.
     """
     reach = math.sqrt(max(0.0, 2 - 2 * least))
     e = F.col(embedding)
@@ -166,19 +232,24 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     nodes = rows.where("sound").groupBy("label", same, "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
     nodes = written(nodes.select("label", "embedding", "node", "n"), "nodes")
     total = nodes.count()
-    models = fit(nodes, total)
-    probed = written(nodes.mapInPandas(lambda b: _probe(b, models, reach), "node long, label string, n long, embedding array<double>, dim int, home int, lists array<int>"), "probed")
+    models = fit(nodes, total, centroids=centroids)
+    homes = written(nodes.select("node", "label", "embedding").mapInPandas(lambda b: _home(b, models), "node long, label string, embedding array<double>, dim int, list int"), "homes")
+    packs = written(homes.mapInPandas(lambda b: _probe(b, models, reach), "label string, dim int, list int, n int, salt long, pack binary"), "packs")
     key = ["label", "dim", "list"]
-    counts = probed.groupBy("label", "dim", F.col("home").alias("list")).agg(F.count("*").alias("members"))
-    asks = probed.select("label", "dim", F.explode("lists").alias("list")).groupBy(*key).agg(F.count("*").alias("queries"))
-    grid = counts.join(asks, key).select(*key, F.ceil(F.col("members") / BLOCK).cast("int").alias("gm"), F.ceil(F.col("queries") / (2 * BLOCK)).cast("int").alias("gq"))
-    turn = lambda g, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(g)).cast("int")
+    counts = packs.groupBy(*key).agg(F.sum("n").alias("members"))
+    grid = counts.join(homes.groupBy(*key).agg(F.count("*").alias("queries")), key)
+    grid = grid.select(*key, F.ceil(F.col("members") / BLOCK).cast("int").alias("gm"), F.ceil(F.col("queries") / (2 * BLOCK)).cast("int").alias("gq"))
+    turn = lambda of, g, salt: F.pmod(F.xxhash64(of, F.lit(salt)), F.col(g)).cast("int")
     every = lambda g: F.explode(F.sequence(F.lit(0), F.col(g) - 1))
-    cols = ["node", "n", "embedding"]
-    members = join_hot(probed.withColumn("list", F.col("home")), grid, key).select(*key, *cols, turn("gm", 1).alias("bm"), every("gq").alias("bq"), F.lit(True).alias("member"))
-    queries = join_hot(probed.withColumn("list", F.explode("lists")), grid, key).select(*key, *cols, every("gm").alias("bm"), turn("gq", 2).alias("bq"), F.lit(False).alias("member"))
-    schema = "node long, other long, links long"
-    found = written(members.union(queries).groupBy(*key, "bm", "bq").applyInPandas(lambda pdf: _rerank(pdf, models, least, reach), schema), "links")
+    members = join_hot(packs, grid, key).select(*key, turn("salt", "gm", 1).alias("bm"), every("gq").alias("bq"), "pack", F.lit(None).cast("long").alias("node"), F.lit(None).cast("array<double>").alias("embedding"))
+    queries = join_hot(homes, grid, key).select(*key, every("gm").alias("bm"), turn("node", "gq", 2).alias("bq"), F.lit(None).cast("binary").alias("pack"), "node", "embedding")
+    block = [*key, "bm", "bq"]
+    left = members.union(queries).groupBy(*block).applyInPandas(lambda pdf: _survivors(pdf, models, reach), "node long, member boolean, label string, dim int, list int, bm int, bq int")
+    left = written(left, "survivors")
+    whole = join_hot(left, nodes.select("node", "n", "embedding"), ["node"])
+    found = written(whole.groupBy(*block).applyInPandas(lambda pdf: _rerank(pdf, least), "node long, other long, links long"), "links")
+    for table in (homes, packs, left):
+        discard(table)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select("node", "other"))
     joined = nodes.join(links, "node", "left").join(parts, "node", "left")
