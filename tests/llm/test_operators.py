@@ -250,7 +250,8 @@ def test_sharding(spark):
     assert sharding.shard_documents(_docs(spark, [])).count() == 0
 
 
-def test_passages(spark):
+@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 300, "stream_bytes": 400}])
+def test_passages(spark, sizes):
     rng = random.Random(7)
     word = lambda: f"w{rng.randrange(500)}"
     shared = [[word() for _ in range(n)] for n in (50, 49, 80, 130)]
@@ -266,7 +267,7 @@ def test_passages(spark):
         w = (t or "").split()
         gone = {b for a in range(len(w) - 49) if i is not None and first[tuple(w[a : a + 50])] < i for b in range(a, a + 50)}
         want.append((i, len(w), len(gone), " ".join(x for b, x in enumerate(w) if b not in gone)))
-    got = [tuple(r) for r in phrases.deduplicate_passages(_docs(spark, rows)).collect()]
+    got = [tuple(r) for r in phrases.deduplicate_passages(_docs(spark, rows), **sizes).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want)) and sum(x[2] for x in want) > 1000
     assert phrases.deduplicate_passages(_docs(spark, []), texts=False).count() == 0
 

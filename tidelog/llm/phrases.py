@@ -1,10 +1,11 @@
 """Substring dedup by repeated-phrase automata.
 
-Candidates: of each 50-word window the least hashed ``GRAM``-word phrase is its anchor, so equal windows share it. Consecutive
-windows with one anchor make a passage. Anchors that occur in one document only are dropped; for the rest it is confirmed,
-by hash of anchor and content, in which document each window starts first. The documents with confirmed passages are
-then cut into shards; for each an Aho-Corasick automaton is compiled from the passages confirmed for its documents,
-and all of them are streamed through it to locate every occurrence.
+Of each 50-word window the least hashed ``GRAM``-word phrase is its anchor, so equal windows share it; consecutive windows with one
+anchor make a passage. Anchors that stand in one document only are dropped. For the rest, passages are cut into phrases: runs of
+windows that all stand in the same passages, so that a document that holds one window of a phrase holds the phrase. Their
+words, taken from the first document of each, are the dictionary, dealt into shards by the first document that holds the anchor;
+each shard is compiled into Aho-Corasick automata. Every document streams the stretches around its recurring anchors past the
+shards that these belong to, and what the automata find there, word by word, is removed where the phrase's first document comes earlier.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, written
+from .common import discard, join_hot, written
 from .rolling import between, prefix
 
 WINDOW, GRAM = 50, 12
-#: Characters of text that share an automaton.
-SHARD = 4_000_000
+#: Bytes of phrases that an automaton holds, and of stretches that a task streams past it, about.
+SHARD, STREAM = 4 << 20, 16 << 20
+#: The table of shards, one row each, is broadcast up to so many.
+MOST_BROADCAST = 100_000
 
 
 class Passages:
@@ -42,8 +45,8 @@ class Passages:
         self.anchor = grams[least[self.start]].view(np.int64)
         self.content = between(self.sums, self.start, self.start + self.n + window - 1).view(np.int64)
 
-    def windows(self, i: int) -> np.ndarray:
-        at = np.arange(self.start[i], self.start[i] + self.n[i])
+    def windows(self, at: int, n: int) -> np.ndarray:
+        at = np.arange(at, at + n)
         return between(self.sums, at, at + self.window).view(np.int64)
 
 
@@ -66,54 +69,77 @@ def _all_passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(np.concatenate(out), columns=["doc_id", "anchor", "content"])
 
 
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The windows of the passages asked for in column ``asked``."""
+def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Stretches of a document around the anchors asked for (kind 0, with the first document that holds the anchor), and the passages asked of it as their first document (1; to be cut: 2)."""
     for batch in batches:
-        out = [np.empty((0, 4), np.int64)]
-        for text, asked in zip(batch["text"], batch["asked"], strict=True):
-            words = words_of(text) if asked is not None else []
-            if len(words) < WINDOW:
+        out: list[tuple] = []
+        for doc_id, h, text, asked in zip(batch["doc_id"].tolist(), batch["h"].tolist(), batch["text"], batch["asked"], strict=True):
+            words = words_of(text)
+            if len(words) < WINDOW:  # a row that only shares another's doc_id
                 continue
-            p, left = Passages(words), {(x["anchor"], x["content"]) for x in asked}
-            for i, key in enumerate(zip(p.anchor.tolist(), p.content.tolist(), strict=True)):
-                if key in left:
-                    left.discard(key)
-                    w = p.windows(i)
-                    out.append(np.stack([np.full(len(w), key[0]), np.full(len(w), key[1]), np.arange(len(w)), w], 1))
-        yield pd.DataFrame(np.concatenate(out), columns=["anchor", "content", "place", "window"])
-
-
-def _locate(docs: list[tuple[int, list[bytes], dict]]) -> list[np.ndarray]:
-    """For each document of a shard, which of its words go. docs: doc_id, words, first documents by passage."""
+            p = Passages(words)
+            sources, firsts = {x["anchor"]: x["content"] for x in asked if not x["kind"]}, {(x["anchor"], x["content"]): x["kind"] > 1 for x in asked if x["kind"]}
+            since, source = 0, None
+            for at, n, key in zip([*p.start.tolist(), len(words)], [*p.n.tolist(), 0], [*zip(p.anchor.tolist(), p.content.tolist(), strict=True), (None, None)], strict=True):
+                # passages that follow one another and have one source make one stretch
+                now = sources.get(key[0])
+                if source is not None and now != source:
+                    out.append((source, 0, False, doc_id, h, since, b" ".join(words[since : end + WINDOW - 1]), None))
+                since, source, end = at if now != source else since, now, at + n
+                if (cut := firsts.pop(key, None)) is not None:
+                    out.append((*key, True, doc_id, h, at, b" ".join(words[at : end + WINDOW - 1]), p.windows(at, n) if cut else None))
+        yield pd.DataFrame(out, columns=["anchor", "content", "passage", "doc_id", "h", "start", "words", "windows"])
+
+
+def _phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cut passages: of each, the runs of windows that stand in the same passages, kept by the passage that has the least of these names."""
+    for batch in batches:
+        out = []
+        for source, content, words, windows in zip(batch["a"].tolist(), batch["content"].tolist(), batch["words"], batch["windows"], strict=True):
+            words, at = words.split(b" "), 0
+            marks = [(x["first"], x["last"], x["owner"], x["mark"]) for x in windows]
+            for end in range(1, len(marks) + 1):
+                if end == len(marks) or marks[end] != marks[at]:
+                    first, last, owner, _ = marks[at]
+                    if first < last and owner == content:
+                        out.append((source, first, b" ".join(words[at : end + WINDOW - 1])))
+                    at = end
+        yield pd.DataFrame(out, columns=["source", "first", "words"])
+
+
+def _locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by shard, a shard's phrases first. Windows found in a stretch of a document that comes after the phrase's first: where they begin, how many."""
     ids: dict[bytes, int] = {}
-    coded = [tuple(ids.setdefault(w, len(ids) + 1) for w in words) for _, words, _ in docs]
-    patterns: dict[tuple, list[int]] = {}
-    for (_, words, firsts), code in zip(docs, coded, strict=True):
-        if len(words) < WINDOW:  # a row that only shares another's doc_id
-            continue
-        p, at, firsts_at = Passages(words), None, []
-        # passages that follow one another make one pattern
-        for start, n, key in zip([*p.start.tolist(), -1], [*p.n.tolist(), 0], [*zip(p.anchor.tolist(), p.content.tolist(), strict=True), None], strict=True):
-            found = firsts.get(key)
-            if found is None and at is not None:
-                patterns[code[at : at + len(firsts_at) + WINDOW - 1]] = firsts_at
-                at, firsts_at = None, []
-            if found is not None:
-                at = start if at is None else at
-                firsts_at = firsts_at + ([*found] if len(found) > 1 else [*found] * n)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for code, firsts in patterns.items():
-        automaton.add_word(code, np.array(firsts, np.int64))
-    automaton.make_automaton()
-    out = []
-    for (doc_id, words, _), code in zip(docs, coded, strict=True):
-        edge = np.zeros(len(words) + 1, np.int64)
-        for end, firsts in automaton.iter(code) if patterns else ():
-            starts = end - WINDOW + 2 - len(firsts) + np.flatnonzero(firsts < doc_id)
-            np.add.at(edge, starts, 1)
-            np.add.at(edge, starts + WINDOW, -1)
-        out.append(np.cumsum(edge)[:-1] > 0)
-    return out
+    phrases: list[tuple[list[bytes], int]] = []
+    automaton, current = None, None
+
+    def compiled() -> ahocorasick.Automaton:
+        made, firsts = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), {}
+        for words, first in phrases:
+            code = tuple(ids.setdefault(w, len(ids) + 1) for w in words)
+            firsts[code] = min(first, firsts.get(code, first))
+        for code, first in firsts.items():
+            made.add_word(code, (len(code), first))
+        made.make_automaton()
+        return made
+
+    for batch in batches:
+        out: list[tuple[int, ...]] = []
+        for shard, doc_id, h, start, first, words in zip(batch["cell"].tolist(), batch["doc_id"].tolist(), batch["h"].tolist(), batch["start"].tolist(), batch["first"].tolist(), batch["words"], strict=True):
+            if shard != current:
+                ids, phrases, automaton, current = {}, [], None, shard
+            words = words.split(b" ")
+            if start < 0:
+                phrases.append((words, int(first)))
+                continue
+            if not phrases:
+                continue
+            automaton = automaton or compiled()
+            code = tuple(ids.get(w, 0) for w in words)
+            for end, (n, first) in automaton.iter(code):
+                if first < doc_id:
+                    out.append((int(doc_id), int(h), int(start) + end - n + 1, n - WINDOW + 1))
+        yield pd.DataFrame(out, columns=["doc_id", "h", "start", "n"]).drop_duplicates()
 
 
 def _kept(words: list[bytes], gone: np.ndarray | None) -> tuple[int, int, bytes]:
@@ -123,48 +149,70 @@ def _kept(words: list[bytes], gone: np.ndarray | None) -> tuple[int, int, bytes]
 
 def _remove(batches: Iterator[pd.DataFrame], texts: bool) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        at, out = 0, []
-        sizes = np.cumsum(batch["text"].map(lambda t: len(t or "")).to_numpy(np.int64))
-        while at < len(batch):
-            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SHARD, "right")))
-            part = batch.iloc[at:end]
-            rows = [(i, words_of(t), f) for i, t, f in zip(part["doc_id"], part["text"], part["found"], strict=True)]
-            shard = [(int(i), w, {(x["anchor"], x["content"]): x["firsts"] for x in f}) for i, w, f in rows if f is not None]
-            gone = iter(_locate(shard))
-            out += [_kept(w, next(gone) if f is not None else None) for _, w, f in rows]
-            at = end
+        out = []
+        for text, found in zip(batch["text"], batch["found"], strict=True):
+            words, gone = words_of(text), None
+            if found is not None:
+                edge = np.zeros(len(words) + 1, np.int64)
+                for x in found:
+                    edge[x["start"]] += 1
+                    edge[x["start"] + x["n"] + WINDOW - 1] -= 1
+                gone = np.cumsum(edge)[:-1] > 0
+            out.append(_kept(words, gone))
         n, removed, kept = zip(*out, strict=True) if out else ([], [], [])
         what = {"kept_text": [k.decode() for k in kept]} if texts else {"kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]}
         yield pd.DataFrame({"doc_id": batch["doc_id"], "n_words": n, "n_removed": removed} | what)
 
 
-def deduplicate_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
+def deduplicate_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: bool = True, shard_bytes: int = SHARD, stream_bytes: int = STREAM) -> DataFrame:
     """Remove each word covered by a 50-word window whose words also start in a document with a smaller doc_id.
 
     One row per row of ``docs``: ``doc_id``, ``n_words``, ``n_removed``, and ``kept_text`` (kept words joined by one space) or,
     with ``texts=False``, its ``kept_sha256``. Windows are judged on the input. Null and empty texts have no words. A row
     without doc_id loses nothing and takes nothing from others. Rows of one doc_id take nothing from one another. Other columns are ignored;
-    an empty table gives no rows. No key's rows meet in one task: minima are pre-aggregated, joins are split by adaptive execution.
+    an empty table gives no rows. What goes is what an automaton found word by word; hashes only name candidates. No key's rows meet in one
+    task: minima are pre-aggregated, joins are split by adaptive execution, a shard's phrases and stretches are dealt out as a grid.
     """
-    texts_of = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    passages = texts_of.where("doc_id IS NOT NULL").mapInPandas(_all_passages, "doc_id long, anchor long, content long")
-    recurring = passages.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    recurring = written(join_hot(passages, recurring, ["anchor"]), "passages")
-    # each passage's first document; passages of anchors with more than one passage are compared window by window
-    variants = recurring.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    variants = written(variants, "variants")
-    many = variants.groupBy("anchor").count().where("count > 1").select("anchor")
-    single = join_hot(variants, many, ["anchor"], "left_anti").where("first < last").select("anchor", "content", F.array("first").alias("firsts"))
-    several = join_hot(variants, many, ["anchor"])
-    asked = several.groupBy(F.col("first").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "content")).alias("asked"))
-    windows = texts_of.join(asked, "doc_id", "left").select("text", "asked").mapInPandas(_windows, "anchor long, content long, place int, window long")
-    windows = windows.join(several, ["anchor", "content"])
-    firsts = windows.groupBy("anchor", "window").agg(F.min("first").alias("least"))
-    each = join_hot(windows, firsts, ["anchor", "window"]).groupBy("anchor", "content").agg(F.sort_array(F.collect_set(F.struct("place", "least"))).alias("x"))
-    # a set, as each row of a first document's doc_id that holds the passage gives its windows again;
-    # a passage of one window says so twice: a list of one stands for all of a passage's windows
-    compared = each.select("anchor", "content", F.col("x.least").alias("firsts"))
-    found = recurring.join(single.union(compared), ["anchor", "content"]).where(F.array_min("firsts") < F.col("doc_id"))
-    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "content", "firsts")).alias("found"))
+    texts_of = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
+    passages = written(texts_of.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(_all_passages, "doc_id long, anchor long, content long"), "passages")
+    recurring = passages.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor", "a")
+    recurring = written(join_hot(passages, recurring, ["anchor"]), "recurring")
+    discard(passages)
+    # passages of anchors with one passage are phrases as they stand; those of others are cut by their windows
+    variants = recurring.groupBy("anchor", "content", "a").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    kinds = variants.groupBy("anchor").agg((F.count("*") > 1).alias("cut"))
+    variants = written(join_hot(variants, kinds, ["anchor"]).where("cut OR first < last"), "variants")
+    ask = lambda content, kind: F.struct("anchor", content.alias("content"), kind.alias("kind"))
+    wanted = recurring.where("doc_id > a").select("doc_id", ask(F.col("a"), F.lit(0)).alias("x"))
+    wanted = wanted.union(variants.select(F.col("first").alias("doc_id"), ask(F.col("content"), F.when(F.col("cut"), 2).otherwise(1)).alias("x"))).groupBy("doc_id").agg(F.collect_list("x").alias("asked"))
+    given = texts_of.join(wanted, "doc_id").select("doc_id", "h", "text", "asked").mapInPandas(_asked, "anchor long, content long, passage boolean, doc_id long, h long, start int, words binary, windows array<long>")
+    given = written(given, "stretches")
+    stretches = given.where("NOT passage").select(F.col("anchor").alias("source"), "doc_id", "h", "start", "words")
+    # a first document's repeated rows give its passages again
+    firsts = given.where("passage").dropDuplicates(["anchor", "content"]).join(variants, ["anchor", "content"])
+    whole = firsts.where("NOT cut").select(F.col("a").alias("source"), "first", "words")
+    windows = firsts.where("cut").select("anchor", "content", "first", "last", F.posexplode("windows").alias("place", "window"))
+    same = windows.groupBy("anchor", "window").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("content").alias("owner"), F.sum(F.xxhash64("content").cast("decimal(38,0)")).alias("mark"))
+    each = join_hot(windows.select("anchor", "content", "place", "window"), same, ["anchor", "window"]).groupBy("anchor", "content").agg(F.sort_array(F.collect_list(F.struct("place", "first", "last", "owner", "mark"))).alias("windows"))
+    several = firsts.where("cut").select("a", "anchor", "content", "words").join(each, ["anchor", "content"]).mapInPandas(_phrases, "source long, first long, words binary")
+    phrases = written(whole.union(several), "phrases")
+    bytes_of = lambda df: df.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0]
+    shards = max(1, bytes_of(phrases) // shard_bytes, bytes_of(stretches) // stream_bytes)
+    shard = F.pmod(F.xxhash64("source"), F.lit(shards)).alias("shard")
+    phrases, stretches = phrases.select("*", shard), stretches.select("*", shard)
+    grid = phrases.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.length("words")) / (2 * shard_bytes))).cast("int").alias("gp"))
+    grid = grid.join(stretches.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.length("words")) / (2 * stream_bytes))).cast("int").alias("gs")), "shard")
+    if shards <= MOST_BROADCAST:
+        grid = F.broadcast(grid)
+    turn = lambda g, *of: F.pmod(F.xxhash64(*of), F.col(g))
+    every = lambda g: F.explode(F.sequence(F.lit(0), F.col(g) - 1))
+    dictionary = phrases.join(grid, "shard").select("shard", turn("gp", "words").cast("int").alias("p"), every("gs").alias("s"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("h"), F.lit(-1).alias("start"), "first", "words")
+    stream = stretches.join(grid, "shard").select("shard", every("gp").alias("p"), turn("gs", "doc_id", "start").cast("int").alias("s"), "doc_id", "h", "start", F.lit(0).cast("long").alias("first"), "words")
+    cell = F.xxhash64("shard", "p", "s").alias("cell")
+    rows = dictionary.union(stream).select(cell, "doc_id", "h", "start", "first", "words").repartition(F.col("cell")).sortWithinPartitions("cell", "start")
+    located = rows.mapInPandas(_locate, "doc_id long, h long, start int, n int")
+    found = written(located.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "n")).alias("found")), "found")
+    for table in (recurring, given, variants):
+        discard(table)
     column = "kept_text" if texts else "kept_sha256"
-    return texts_of.join(found, "doc_id", "left").select("doc_id", "text", "found").mapInPandas(lambda b: _remove(b, texts), f"doc_id long, n_words long, n_removed long, {column} string")
+    return texts_of.join(found, ["doc_id", "h"], "left").select("doc_id", "text", "found").mapInPandas(lambda b: _remove(b, texts), f"doc_id long, n_words long, n_removed long, {column} string")
