@@ -78,32 +78,32 @@ def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(words) < WINDOW:  # a row that only shares another's doc_id
                 continue
             p = Passages(words)
-            sources, firsts = {x["anchor"]: x["content"] for x in asked if not x["kind"]}, {(x["anchor"], x["content"]): x["kind"] > 1 for x in asked if x["kind"]}
+            sources, firsts = {x["anchor"]: x["a"] for x in asked if not x["kind"]}, {(x["anchor"], x["content"]): x for x in asked if x["kind"]}
             since, source = 0, None
             for at, n, key in zip([*p.start.tolist(), len(words)], [*p.n.tolist(), 0], [*zip(p.anchor.tolist(), p.content.tolist(), strict=True), (None, None)], strict=True):
                 # passages that follow one another and have one source make one stretch
                 now = sources.get(key[0])
                 if source is not None and now != source:
-                    out.append((source, 0, False, doc_id, h, since, b" ".join(words[since : end + WINDOW - 1]), None))
+                    out.append((source, 0, 0, 0, doc_id, h, since, 0, b" ".join(words[since : end + WINDOW - 1]), None))
                 since, source, end = at if now != source else since, now, at + n
-                if (cut := firsts.pop(key, None)) is not None:
-                    out.append((*key, True, doc_id, h, at, b" ".join(words[at : end + WINDOW - 1]), p.windows(at, n) if cut else None))
-        yield pd.DataFrame(out, columns=["anchor", "content", "passage", "doc_id", "h", "start", "words", "windows"])
+                if (x := firsts.pop(key, None)) is not None:
+                    out.append((x["a"], *key, x["kind"], doc_id, h, at, x["last"], b" ".join(words[at : end + WINDOW - 1]), p.windows(at, n) if x["kind"] > 1 else None))
+        yield pd.DataFrame(out, columns=["source", "anchor", "content", "kind", "doc_id", "h", "start", "last", "words", "windows"])
 
 
 def _phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Cut passages: of each, the runs of windows that stand in the same passages, kept by the passage that has the least of these names."""
     for batch in batches:
         out = []
-        for source, content, words, windows in zip(batch["a"].tolist(), batch["content"].tolist(), batch["words"], batch["windows"], strict=True):
-            words, at = words.split(b" "), 0
-            marks = [(x["first"], x["last"], x["owner"], x["mark"]) for x in windows]
-            for end in range(1, len(marks) + 1):
-                if end == len(marks) or marks[end] != marks[at]:
-                    first, last, owner, _ = marks[at]
-                    if first < last and owner == content:
-                        out.append((source, first, b" ".join(words[at : end + WINDOW - 1])))
-                    at = end
+        for source, content, words, windows in zip(batch["source"].tolist(), batch["content"].tolist(), batch["words"], batch["windows"], strict=True):
+            words, run = words.split(b" "), None
+            for x in [*windows, None]:
+                if run is not None and (x is None or (x["place"], x["owner"], x["mark"]) != (run[1], run[2], run[3])):
+                    if run[2] == content:
+                        out.append((source, run[4], b" ".join(words[run[0] : run[1] + WINDOW - 1])))
+                    run = None
+                if x is not None:
+                    run = (x["place"] if run is None else run[0], x["place"] + 1, x["owner"], x["mark"], x["first"])
         yield pd.DataFrame(out, columns=["source", "first", "words"])
 
 
@@ -182,19 +182,20 @@ def deduplicate_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     variants = recurring.groupBy("anchor", "content", "a").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     kinds = variants.groupBy("anchor").agg((F.count("*") > 1).alias("cut"))
     variants = written(join_hot(variants, kinds, ["anchor"]).where("cut OR first < last"), "variants")
-    ask = lambda content, kind: F.struct("anchor", content.alias("content"), kind.alias("kind"))
-    wanted = recurring.where("doc_id > a").select("doc_id", ask(F.col("a"), F.lit(0)).alias("x"))
-    wanted = wanted.union(variants.select(F.col("first").alias("doc_id"), ask(F.col("content"), F.when(F.col("cut"), 2).otherwise(1)).alias("x"))).groupBy("doc_id").agg(F.collect_list("x").alias("asked"))
-    given = texts_of.join(wanted, "doc_id").select("doc_id", "h", "text", "asked").mapInPandas(_asked, "anchor long, content long, passage boolean, doc_id long, h long, start int, words binary, windows array<long>")
+    ask = lambda content, kind, last: F.struct("anchor", content.alias("content"), kind.alias("kind"), last.alias("last"), "a").alias("x")
+    zero = F.lit(0).cast("long")
+    wanted = recurring.where("doc_id > a").select("doc_id", ask(zero, F.lit(0), zero))
+    wanted = wanted.union(variants.select(F.col("first"), ask(F.col("content"), F.when(F.col("cut"), 2).otherwise(1), F.col("last")))).groupBy("doc_id").agg(F.collect_list("x").alias("asked"))
+    given = texts_of.join(wanted, "doc_id").select("doc_id", "h", "text", "asked").mapInPandas(_asked, "source long, anchor long, content long, kind int, doc_id long, h long, start int, last long, words binary, windows array<long>")
     given = written(given, "stretches")
-    stretches = given.where("NOT passage").select(F.col("anchor").alias("source"), "doc_id", "h", "start", "words")
-    # a first document's repeated rows give its passages again
-    firsts = given.where("passage").dropDuplicates(["anchor", "content"]).join(variants, ["anchor", "content"])
-    whole = firsts.where("NOT cut").select(F.col("a").alias("source"), "first", "words")
-    windows = firsts.where("cut").select("anchor", "content", "first", "last", F.posexplode("windows").alias("place", "window"))
-    same = windows.groupBy("anchor", "window").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("content").alias("owner"), F.sum(F.xxhash64("content").cast("decimal(38,0)")).alias("mark"))
-    each = join_hot(windows.select("anchor", "content", "place", "window"), same, ["anchor", "window"]).groupBy("anchor", "content").agg(F.sort_array(F.collect_list(F.struct("place", "first", "last", "owner", "mark"))).alias("windows"))
-    several = firsts.where("cut").select("a", "anchor", "content", "words").join(each, ["anchor", "content"]).mapInPandas(_phrases, "source long, first long, words binary")
+    stretches = given.where("kind = 0").select("source", "doc_id", "h", "start", "words")
+    whole, cut = given.where("kind = 1").select("source", F.col("doc_id").alias("first"), "words"), given.where("kind = 2")
+    # a first document's repeated rows give its passages again, each window as often: marks still differ where passages do, and sets take each place once
+    windows = cut.select("anchor", "content", "doc_id", "last", F.posexplode("windows").alias("place", "window"))
+    mark = F.xxhash64(F.sum(F.xxhash64("content").cast("decimal(38,0)"))).alias("mark")
+    same = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("last").alias("last"), F.min("content").alias("owner"), mark).where("first < last").drop("last")
+    each = join_hot(windows.select("anchor", "content", "place", "window"), same, ["anchor", "window"]).groupBy("anchor", "content").agg(F.sort_array(F.collect_set(F.struct("place", "first", "owner", "mark"))).alias("windows"))
+    several = cut.select("source", "anchor", "content", "words").join(each, ["anchor", "content"]).mapInPandas(_phrases, "source long, first long, words binary")
     phrases = written(whole.union(several), "phrases")
     bytes_of = lambda df: df.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0]
     shards = max(1, bytes_of(phrases) // shard_bytes, bytes_of(stretches) // stream_bytes)
@@ -212,7 +213,7 @@ def deduplicate_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     rows = dictionary.union(stream).select(cell, "doc_id", "h", "start", "first", "words").repartition(F.col("cell")).sortWithinPartitions("cell", "start")
     located = rows.mapInPandas(_locate, "doc_id long, h long, start int, n int")
     found = written(located.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "n")).alias("found")), "found")
-    for table in (recurring, given, variants):
+    for table in (recurring, given, variants, phrases):
         discard(table)
     column = "kept_text" if texts else "kept_sha256"
     return texts_of.join(found, ["doc_id", "h"], "left").select("doc_id", "text", "found").mapInPandas(lambda b: _remove(b, texts), f"doc_id long, n_words long, n_removed long, {column} string")
