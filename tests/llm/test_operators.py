@@ -147,7 +147,19 @@ def test_secrets(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert sum(bool(w[5]) for w in want) >= 5
     assert secrets.redact(_docs(spark, [(1, f"a {key} b"), (2, "clean")])).orderBy("doc_id").select("text").collect() == [("a [secret] b",), ("clean",)]
-    assert secrets.find_secrets(_docs(spark, [])).count() == 0
+    assert secrets.find_secrets(_docs(spark, [])).count() == 0 and secrets.redact(_docs(spark, [])).count() == 0
+    odd = _docs(spark, [(None, f"a {key} b"), (None, "clean"), (1, f"{key}{key}"), (1, f"{key}{key}"), (1, None)]).withColumns({"_spans": F.lit(1), "h": F.lit(2), "tmp0": F.lit(3), "start": F.lit(4), "cuts": F.lit(5)})
+    masked = secrets.redact(odd)
+    assert masked.columns == odd.columns and sorted(str(r["text"]) for r in masked.collect()) == sorted(["a [secret] b", "clean", "[secret]", "[secret]", "None"])
+
+
+def test_many_matches_in_one_text(spark):
+    """Tens of thousands of matches in a text take time in proportion to them."""
+    n = 40_000
+    text = " ".join(f"{i:016x}" for i in range(n))
+    got = secrets.find_secrets(_docs(spark, [(1, text), (2, "x" * 2_000_000)])).orderBy("doc_id").collect()
+    assert got[0]["n_hex"] == n and got[0]["spans"] == ",".join(f"hex:{17 * i}:{17 * i + 16}" for i in range(n)) and got[1]["n_hex"] == 0
+    assert secrets.redact(_docs(spark, [(1, text)])).first()["text"] == " ".join(["[secret]"] * n)
 
 
 def test_keys_and_logins_go_whole(spark):

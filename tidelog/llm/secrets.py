@@ -3,7 +3,8 @@
 From each rule's pattern a Boolean query over lower-case trigrams is derived: what every match must hold. The index has, for
 each block of 4096 consecutive doc_ids, the posting list of each trigram that some query names. Postings are intersected
 within a conjunction and united over the alternatives; the candidates are verified by the pattern itself. A rule whose
-matches need hold no trigram scans every text.
+matches need hold no trigram scans every text. Matches are rows of a few numbers: where a span begins is a running sum over them,
+and texts themselves are read where they lie.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ import re
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free_names, written
+
 KEYWORDS = "|".join(["[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]", "[Pp][Aa][Ss][Ss][Ww][Dd]", "[Ss][Ee][Cc][Rr][Ee][Tt]", "[Tt][Oo][Kk][Ee][Nn]", "[Aa][Pp][Ii]_?[Kk][Ee][Yy]"])
 KEY_BEGIN, KEY_END, CODE = "-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----", "-{5,}END [A-Z ]{0,32}PRIVATE KEY-----", "[A-Za-z0-9+/=]"
 #: A token of base64: 20 characters or more. Spelt out, as RE2 multiplies nested counts.
@@ -39,7 +42,7 @@ RULES = [
     ("url_login", "[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~%-]+:[A-Za-z0-9._~%!$&*+-]+@", 0, 0),
 ]
 BASE = ("assign", "access", "hex")
-BLOCK_BITS, MOST_STRINGS = 12, 64
+BLOCK_BITS, MOST_STRINGS, CUTS = 12, 64, 128
 
 
 def _minimal(query: set[frozenset[str]]) -> set[frozenset[str]]:
@@ -99,22 +102,27 @@ def trigram_query(pattern: str) -> set[frozenset[str]]:
     return _of_strings(strings) if strings is not None else query
 
 
+def any_of(trigrams: list[str]) -> str:
+    """A pattern that, wherever one of the trigrams begins, has it as its first group; each place is looked at once."""
+    heads = sorted({t[0] for t in trigrams})
+    return "(?=(" + "|".join(f"{re.escape(c)}(?:{'|'.join(re.escape(t[1:]) for t in sorted(trigrams) if t[0] == c)})" for c in heads) + "))"
+
+
 def build_index(docs: DataFrame, trigrams: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``block``, ``trigram`` (its place in ``trigrams``), ``postings``: the doc_ids of the block whose lower-cased text holds it.
+    """``block``, ``trigram``, ``postings``: the doc_ids of the block whose lower-cased text holds it.
 
     Null texts and doc_ids are in no posting list.
     """
-    low = F.lower(F.col(text))
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
+    held = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(any_of(trigrams)), F.lit(1)))
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.explode(held).alias("trigram"))
     return rows.groupBy(F.shiftright("doc_id", BLOCK_BITS).alias("block"), "trigram").agg(F.collect_set("doc_id").alias("postings"))
 
 
-def candidates(index: DataFrame, trigrams: list[str], queries: list[set[frozenset[str]]]) -> DataFrame:
+def candidates(index: DataFrame, queries: list[set[frozenset[str]]]) -> DataFrame:
     """``doc_id`` and ``rules``, a bit for each query that its postings satisfy; queries without trigrams are left out."""
     blocks = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "postings"))).alias("lists"))
     none = F.array().cast("array<long>")
-    get = lambda t: F.coalesce(F.col("lists")[trigrams.index(t)], none)
+    get = lambda t: F.coalesce(F.col("lists")[t], none)
     hits = []
     for bit, query in enumerate(queries):
         if frozenset() not in query:
@@ -123,62 +131,79 @@ def candidates(index: DataFrame, trigrams: list[str], queries: list[set[frozense
     return blocks.select(F.explode(F.flatten(F.array(*hits))).alias("x")).groupBy("x.doc_id").agg(F.bit_or("x.rule").alias("rules"))
 
 
-def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
-    """Leftmost non-overlapping matches as array<struct<start, kind, end>>; places count code points."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    length = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda a, x: a + F.length(x))
-    measured = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
-    at = F.transform(
-        F.arrays_zip(hits.alias("hit"), measured.alias("value")),
-        lambda x, i: F.struct((length(gaps, i + 1) + length(hits, i)).alias("start"), F.lit(kind).alias("kind"), x["hit"].alias("hit"), F.length(x["value"]).alias("n")),
-    )
-    return F.transform(F.filter(at, lambda x: x["n"] >= least), lambda x: F.struct(x["start"], x["kind"], (x["start"] + F.length(x["hit"])).alias("end")))
+def _matches(text: Column, rules: list[tuple[str, str, int, int]], wanted: Column) -> Column:
+    """Leftmost non-overlapping matches of the rules whose bits are set: rule, number, length of the gap before, of the match, of what is measured."""
+    none = F.array().cast("array<struct<kind:int,i:int,gap:int,hit:int,n:int>>")
+
+    def of(kind: int, pattern: str, group: int) -> Column:
+        hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+        measured = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
+        zipped = F.filter(F.arrays_zip(hits.alias("hit"), measured.alias("value"), gaps.alias("gap")), lambda x: x["hit"].isNotNull())
+        return F.transform(zipped, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), F.length(x["value"]).alias("n")))
+
+    each = [F.when(wanted.bitwiseAND(F.lit(1 << k)) != 0, F.coalesce(of(k, p, g), none)).otherwise(none) for k, (_, p, g, _) in enumerate(rules)]
+    return F.flatten(F.array(*each))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: list[tuple[str, str, int, int]] | None = None) -> DataFrame:
-    """All columns of ``docs`` and ``_spans``: array<struct<start, kind, end>> in order of start, then kind (its place in ``rules``).
+    """``doc_id``, ``h`` (hash of the text), ``start``, ``kind`` (its place in ``rules``) and ``end`` of each span; places count code points.
 
     Null and empty texts have no spans. Rows without doc_id aren't in the index: every rule scans them. Rows that share a
-    doc_id share their candidates; each is verified by its own text. An empty table gives no rows.
+    doc_id share their candidates; each is verified by its own text, and rows alike in both give their spans once. An empty table
+    gives no rows. The candidates are written first, so the planner knows their size when it chooses how they meet the texts.
     """
     rules = rules or RULES
     queries = [trigram_query(pattern) for _, pattern, _, _ in rules]
     trigrams = sorted(set().union(*(c for q in queries for c in q)))
-    found = candidates(build_index(docs, trigrams, doc_id, text), trigrams, queries).select(F.col("doc_id").alias("_id"), F.col("rules").alias("_rules"))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     always = sum(1 << i for i, q in enumerate(queries) if frozenset() in q)
-    joined = docs.join(found, docs[doc_id] == found["_id"], "left")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    bits = F.when(F.col(doc_id).isNull(), F.lit((1 << len(rules)) - 1)).otherwise(F.coalesce("_rules", F.lit(0)).bitwiseOR(F.lit(always)))
-    joined = joined.select(*names, bits.alias("_rules"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    each = [F.when(F.col("_rules").bitwiseAND(F.lit(1 << i)) != 0, F.coalesce(_spans(F.col(text), i, p, g, n), none)).otherwise(none) for i, (_, p, g, n) in enumerate(rules)]
-    return joined.select(*names, F.array_sort(F.flatten(F.array(*each))).alias("_spans"))
+    hash_of, every = F.xxhash64("text").alias("h"), F.lit((1 << len(rules)) - 1)
+    unindexed = F.when(F.col("doc_id").isNull(), every).otherwise(F.lit(always))
+    hits = texts.select("doc_id", hash_of, F.inline(_matches(F.col("text"), rules, unindexed)))
+    if trigrams:
+        found = written(candidates(build_index(texts, trigrams), queries), "candidates")
+        hits = hits.union(texts.join(found, "doc_id").select("doc_id", hash_of, F.inline(_matches(F.col("text"), rules, F.col("rules")))))
+    own = Window.partitionBy("doc_id", "h", "kind").orderBy("i")
+    placed = hits.dropDuplicates(["doc_id", "h", "kind", "i"]).withColumn("end", F.sum(F.col("gap") + F.col("hit")).over(own).cast("int"))
+    least = F.element_at(F.array(*[F.lit(n) for _, _, _, n in rules]), F.col("kind") + 1)
+    return placed.where(F.col("n") >= least).select("doc_id", "h", (F.col("end") - F.col("hit")).alias("start"), "kind", "end")
 
 
 def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``doc_id``, counts of the base kinds, SHA-256 of the base spans, and all spans as ``kind:start:end``, comma-joined."""
-    base = F.filter("_spans", lambda x: x["kind"] < len(BASE))
+    base = F.filter("s.spans", lambda x: x["kind"] < len(BASE))
     names = F.array(*[F.lit(r[0]) for r in RULES])
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
-    count = lambda i: F.size(F.filter("_spans", lambda x: x["kind"] == i)).cast("long")
-    found = scan(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(BASE)], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans"))
+    count = lambda i: F.coalesce(F.size(F.filter("s.spans", lambda x: x["kind"] == i)), F.lit(0)).cast("long")
+    none = F.lit("")
+    each = scan(docs, doc_id, text).groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"))
+    found = rows.alias("d").join(each.alias("s"), F.expr("d.doc_id <=> s.doc_id AND d.h = s.h"), "left")
+    return found.select("d.doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(BASE)], F.sha2(F.coalesce(joined(base), none).cast("binary"), 256).alias("base_sha256"), F.coalesce(joined(F.col("s.spans")), none).alias("spans"))
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """``docs`` with each secret replaced by a mark; spans that overlap get one mark. Texts without secrets stay as they are."""
-    found = scan(docs, doc_id, text)
-    whole = F.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(done: Column, x: Column) -> Column:
-        gap = F.substring(whole, done["at"] + 1, x["start"] - done["at"])
-        out = F.when(x["start"] >= done["at"], F.concat(done["out"], gap, F.lit(mark))).otherwise(done["out"])
-        return F.struct(F.greatest(done["at"], x["end"]).alias("at"), out.alias("out"))
-
-    clean = F.aggregate("_spans", start, step, lambda done: F.concat(done["out"], F.substring(whole, done["at"] + 1, F.length(whole))))
-    names = [F.when(F.size("_spans") > 0, clean).otherwise(whole).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return found.select(*names)
+    """``docs`` with each secret replaced by a mark; spans that overlap get one mark. Texts without secrets stay as they are.
+
+    All rows and columns stay, whatever their names; rows without doc_id are masked like any other; an empty table gives no rows.
+    """
+    before = Window.partitionBy("doc_id", "h").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.coalesce((F.col("start") >= F.max("end").over(before)).cast("int"), F.lit(1))
+    spans = scan(docs, doc_id, text).withColumn("opens", opens)
+    islands = spans.withColumn("island", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "h", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    since = F.coalesce(F.lag("end").over(Window.partitionBy("doc_id", "h").orderBy("island")), F.lit(0)).alias("since")
+    cuts = islands.select("doc_id", "h", since, "start", "end").groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("since", "start", "end"))).alias("cuts"))
+    id_, h, found = free_names(docs, 3)
+    cuts = written(cuts.select(F.col("doc_id").alias(id_), F.col("h").alias(h), F.col("cuts").alias(found)), "secrets")
+    joined = docs.alias("d").join(cuts.alias("s"), F.col(f"d.`{doc_id}`").eqNullSafe(F.col(f"s.{id_}")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col(f"s.{h}")), "left")
+    whole, spots = F.col(f"d.`{text}`"), F.col(f"s.{found}")
+    # places are found by counting characters from the front, so stretches of CUTS cuts are taken out first
+    some = F.transform(F.sequence(F.lit(1), F.size(spots), F.lit(CUTS)), lambda k: F.slice(spots, k, CUTS))
+    parts = F.transform(some, lambda c: F.struct(c.alias("cuts"), F.substring(whole, c[0]["since"] + 1, F.element_at(c, -1)["end"] - c[0]["since"]).alias("text")))
+    gap = lambda p, x: F.substring(p["text"], x["since"] - p["cuts"][0]["since"] + 1, x["start"] - x["since"])
+    kept = F.array_join(F.transform(parts, lambda p: F.array_join(F.transform(p["cuts"], lambda x: F.concat(gap(p, x), F.lit(mark))), "")), "")
+    clean = F.concat(kept, F.substring(whole, F.element_at(spots, -1)["end"] + 1, F.length(whole)))
+    return joined.select(*[F.when(spots.isNotNull(), clean).otherwise(whole).alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns])
 
 
 def oracle(documents: str = "documents") -> str:
