@@ -64,6 +64,27 @@ def test_simhash(spark):
         mine = comp[int(r["fingerprint"], 16)]
         assert r["component_id"] == min((i for i, t in rows if i is not None and comp[marks[t]] == mine), default=None)
     assert sorted(x[0] for x in simhash.deduplicate(_docs(spark, [(1, "a b"), (2, "a b"), (3, "zz yy xx ww")])).select("doc_id").collect()) == [1, 3]
+    odd = _docs(spark, [(5, "a b"), (5, "a b"), (None, "a b"), (None, "c d e f"), (None, "c d e f"), (6, "zz yy xx ww"), (6, "quite another text"), (7, "quite another text")]).withColumns({"n": F.lit(1), "tmp1": F.lit(2), "fp": F.lit(3)})
+    kept = simhash.deduplicate(odd)
+    assert kept.columns == odd.columns and sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("5", "a b"), ("6", "quite another text"), ("6", "zz yy xx ww"), ("None", "c d e f")]
+    assert simhash.deduplicate(_docs(spark, [])).count() == 0
+
+
+def test_hot_buckets_are_split(spark):
+    """Fingerprints that share a segment, linked or not in the other: the same components however small the buckets are cut."""
+    rng = random.Random(15)
+    low = [rng.getrandbits(32) for _ in range(150)]
+    fps = {0xABCD1234 << 32 | x for x in low} | {(0xABCD1234 ^ 1 << rng.randrange(32)) << 32 | (x ^ 1 << rng.randrange(32)) for x in low[:80]} | {0xABCD1234 << 32 | (x ^ 7) for x in low[:40]} | {rng.getrandbits(64) for _ in range(100)}
+    fps = sorted(fps)
+    comp = {f: f for f in fps}
+    for _ in range(6):
+        comp = {f: min(comp[g] for g in fps if (f ^ g).bit_count() <= 3) for f in fps}
+    table = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    want = {frozenset(g for g in fps if comp[g] == c) for c in comp.values()}
+    for hot in (4096, 4):
+        got = {r["node"] % (1 << 64): r["component"] for r in connected_components(simhash.hamming_links(table, hot=hot)).collect()}
+        groups = {frozenset(g for g in got if got[g] == c) for c in got.values()}
+        assert groups == {g for g in want if len(g) > 1} and len(groups) > 50
 
 
 def test_hamming_search_in_large_buckets():
@@ -384,6 +405,62 @@ def test_language_sample_is_spread_evenly(spark):
     assert sum(got.values()) == 6000 and min(got.values()) > 400 and max(got.values()) < 600
 
 
+def test_language_sample_is_bounded_in_size(spark):
+    rng = random.Random(16)
+    long = "".join(chr(rng.randrange(97, 123)) for _ in range(30_000))
+    docs = _docs(spark, [(i, long if i % 2 else f"kurz {i}", "ab"[i % 2]) for i in range(60)])
+    few, all_ = langid.fit(docs, max_entries=200_000), langid.fit(docs)
+    assert few.languages == all_.languages == ["a", "b"] and (few.idf == all_.idf).all()
+    assert (few.weights != all_.weights).any() and few.predict(long)[0] == "b"
+    kept = langid.keep_identified(docs.withColumns({"_p": F.lit(1), "tmp0": F.lit(2), "p": F.lit(3)}))
+    assert kept.columns == [*docs.columns, "_p", "tmp0", "p"] and langid.keep_identified(_docs(spark, [])).count() == 0
+
+
+def _mix(x):
+    x &= (1 << 64) - 1
+    x = (x ^ x >> 31) * 0x7FB5D329728EA185 % (1 << 64)
+    x = (x ^ x >> 27) * 0x81DADEF4BC2DD44D % (1 << 64)
+    return x ^ x >> 33
+
+
+def _slow_parse(text):
+    """Locally consistent parsing one symbol at a time: each level's least name in each slot."""
+    base, out = 0x9E3779B97F4A7C15, []
+    names = [_mix(ord(c)) for c in text]
+    x = [ord(c) for c in text]
+    for level, slots in enumerate(parsing.SLOTS):
+        if level and x:
+            runs = [(k, len(list(g))) for k, g in itertools.groupby(x)]
+            x = [k if n == 1 else _mix(k + n * base) for k, n in runs]
+            label = list(x)
+            for _ in range(parsing.ROUNDS):
+                new = []
+                for i, a in enumerate(label):
+                    b = label[i - 1] if i else a ^ 1
+                    low = ((a ^ b) & -(a ^ b)).bit_length() - 1 if a != b else 64
+                    new.append(low * 2 + (a >> low & 1))
+                label = new
+            n = len(label)
+            high = [0 < i < n - 1 and label[i] > label[i - 1] and label[i] > label[i + 1] for i in range(n)]
+            low = [0 < i < n - 1 and label[i] < label[i - 1] and label[i] < label[i + 1] and not high[i - 1] and not high[i + 1] for i in range(n)]
+            start = [i for i in range(n) if not i or high[i] or low[i]]
+            x = [_mix(sum(x[j] * pow(base, j - a, 1 << 64) for j in range(a, b)) + b - a) for a, b in zip(start, [*start[1:], n])]
+            names = [_mix(v + level) for v in x]
+        for s in range(slots):
+            mine = [v for v in names if v % slots == s]
+            out.append(_mix(min(mine)) % parsing.EMPTY if mine else parsing.EMPTY)
+    return out
+
+
+def _hex(values):
+    return "".join(f"{v:04x}" for v in values)
+
+
+def _slow_likeness(a, b):
+    used = [(x, y) for x, y in zip(a, b) if (x, y) != (parsing.EMPTY, parsing.EMPTY)]
+    return sum(x == y for x, y in used) / len(used) if used else 1.0
+
+
 def test_parsing(spark):
     rng = random.Random(9)
     text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
@@ -391,11 +468,18 @@ def test_parsing(spark):
     a, b = parsing.fingerprints([text(400) + core, text(777) + core]), parsing.fingerprints([text(3400), text(3400)])
     assert parsing.alike(a[:1], a[1:])[0] > 0.5 > 0.35 > parsing.alike(b[:1], b[1:])[0]
     assert (parsing.fingerprints(["x", core, ""])[1] == parsing.fingerprints([core])[0]).all()
-    rows = ODD + [(20 + i, text(rng.randrange(500))) for i in range(40)]
-    got = parsing.compare_with_edits(_docs(spark, rows)).collect()
-    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
-    want = [(i, len(t), hashlib.sha256(parsing.edited(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order)]
-    assert sorted(str(tuple(r)[:3]) for r in got) == sorted(map(str, want))
+    rows = ODD + [(20 + i, text(rng.randrange(500))) for i in range(40)] + [(None, text(rng.randrange(300))) for _ in range(60)] + [(None, "twice")] * 2 + [(70 + i % 2, "two rows of one id " * i) for i in range(4)]
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1]), r[1]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        other = order[(k + 1) % len(order)][1]
+        new = t[: len(t) - len(t) // 3] + other[: len(t) // 3]
+        own, next_, edit = _slow_parse(t), _slow_parse(other), _slow_parse(new)
+        want.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), _hex(own), _hex(edit), _slow_likeness(own, edit), _slow_likeness(own, next_)))
+    for range_bytes in (parsing.RANGE_BYTES, 2000):
+        got = parsing.compare_with_edits(_docs(spark, rows), range_bytes=range_bytes).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert parsing.compare_with_edits(_docs(spark, [])).count() == 0
     one = parsing.compare_with_edits(_docs(spark, [(1, "abcabc")])).first()
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"abcaab").hexdigest()

@@ -3,12 +3,14 @@
 A fingerprint of 64 bits is cut into ``SEGMENTS`` segments. If two fingerprints differ in at most ``RADIUS`` bits, then in
 at least one segment they differ in at most ``RADIUS // SEGMENTS`` bits. Each distinct fingerprint is stored under each of
 its segments, and asks for every value in the small Hamming ball around each of its segments; what a value's row of the table
-brings together is held against the complete distance.
+brings together is held against the complete distance. Rows of the table that many fingerprints share are split by the other
+segments' bits: of ``RADIUS + 1`` blocks of these, two fingerprints within ``RADIUS`` have one in common.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,12 +18,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, whole_runs, written
+from .common import free_names, join_hot, whole_runs, written
 from .components import connected_components
 
 RADIUS, SEGMENTS, SHINGLE, SEED = 3, 2, 3, 42
 #: Runs of up to so many rows are compared by shifting; longer ones by a search that visits each row once.
 SMALL = 8
+#: A row of the table is split if more fingerprints than about so many ask for it.
+HOT = 4096
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -96,22 +100,46 @@ def _links(batches: Iterator[pd.DataFrame], radius: int = RADIUS) -> Iterator[pd
         yield pd.DataFrame({"a": a[:, 0], "b": a[:, 1]})
 
 
-def hamming_links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+def hamming_links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, hot: int = HOT) -> DataFrame:
     """Edges ``a``, ``b`` whose components are those of all pairs of the distinct longs in column ``fp`` within ``radius`` bits."""
     width, ball = 64 // segments, radius // segments
     if ball > 1:
         raise ValueError("a ball of more than one bit isn't enumerated: take more segments")
-    keys = []
-    for s in range(segments):
-        part = F.shiftrightunsigned("fp", s * width).bitwiseAND((1 << width) - 1)
-        at = lambda value, away, s=s: F.lit(s << (width + 1)).bitwiseOR(F.shiftleft(value, 1)).bitwiseOR(F.lit(away).cast("long"))
-        keys.append(at(part, 0))
-        keys += [at(part.bitwiseXOR(F.lit(1 << i).cast("long")), 1) for i in range(width if ball else 0)]
-    probes = fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
-    dealt = probes.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
+    spark = fps.sparkSession
+    fps = fps.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # the ball multiplies rows: by number, so that they aren't packed together
+    one = lambda i: F.lit(1 << i).cast("long")
+    home = lambda s, value: F.lit(s << width).cast("long").bitwiseOR(value)
+    flips = [None, *range(width if ball else 0)]
+    parts = [F.shiftrightunsigned("fp", s * width).bitwiseAND((1 << width) - 1) for s in range(segments)]
+    around = lambda bucket: F.array(*[bucket if i is None else bucket.bitwiseXOR(one(i)) for i in flips])
+    probes = fps.select("fp", F.explode(F.array(*[F.struct(home(s, p if i is None else p.bitwiseXOR(one(i))).alias("bucket"), F.lit(int(i is not None)).alias("away")) for s, p in enumerate(parts) for i in flips])).alias("x"))
+    # a bucket is asked for by those at home in it and in its ball; if none of these buckets holds more than a share of hot, it is not
+    full = fps.select(F.explode(F.array(*[home(s, p) for s, p in enumerate(parts)])).alias("bucket")).groupBy("bucket").count().where(F.col("count") > hot // len(flips))
+    asked = full.select(F.explode(around(F.col("bucket"))).alias("bucket"), "count").groupBy("bucket").agg(F.sum("count").alias("n")).where(F.col("n") > hot).select("bucket", F.lit(True).alias("split"))
+    probes = join_hot(probes.select("fp", "x.bucket", "x.away"), written(asked, "hot"), ["bucket"], "left")
+    bits = (64 - width) // (radius + 1)
+    turns = [(s + 1) * width % 64 for s in range(segments)]
+    rest = [F.col("fp") if not t else F.shiftrightunsigned("fp", t).bitwiseOR(F.shiftleft("fp", 64 - t)) for t in turns]
+    others = reduce(lambda x, s: F.when(F.shiftrightunsigned("bucket", width) == s, rest[s]).otherwise(x), range(1, segments), rest[0])
+    blocks = F.array(*[F.lit((k + 1) << bits).cast("long").bitwiseOR(F.shiftrightunsigned(others, k * bits).bitwiseAND((1 << bits) - 1)) for k in range(radius + 1)])
+    sub = F.explode(F.when(F.col("split"), blocks).otherwise(F.array(F.lit(0).cast("long"))))
+    keyed = probes.select("fp", "bucket", "away", sub.alias("sub"))
+    room = bits + (radius + 2).bit_length()
+    key = F.shiftleft(F.shiftleft("bucket", room).bitwiseOR(F.col("sub")), 1).bitwiseOR(F.col("away").cast("long"))
+    dealt = keyed.select(key.alias("key"), "fp").repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
     return dealt.mapInPandas(lambda batches: _links(batches, radius), "a long, b long")
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows as ``doc_id``, ``h`` (hash of the text), ``fp``; and for each fingerprint its component's ``root`` and least doc_id."""
+    marks = written(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), simhash(F.col(text)).alias("fp")), "simhash")
+    distinct = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = connected_components(hamming_links(distinct))
+    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marks, join_hot(rooted, roots, ["root"]).select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Link documents whose fingerprints differ in ``RADIUS`` bits or fewer; one row per row of ``docs``.
 
@@ -121,19 +149,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     no rows. Only distinct fingerprints are compared, so exact copies, however many, cost one row; within a large group
     of near ones a spanning forest is emitted, never all pairs.
     """
-    marks = written(docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text)).alias("fp")), "simhash")
-    distinct = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = connected_components(hamming_links(distinct))
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = join_hot(rooted, roots, ["root"]).select("fp", "component_id")
-    return marks.join(named, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
+    marks, named = _grouped(docs, doc_id, text)
+    return join_hot(marks, named, ["fp"]).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Keep one row of each group of near copies: that with the smallest doc_id.
+    """Keep one row of each group of near copies: that with the smallest doc_id, or of rows that share it, or have none, that with the least hash of its text.
 
-    All columns stay. Rows that share their group's smallest doc_id all stay; so does a group without any doc_id.
+    All columns stay, whatever their names. Rows alike in doc_id and text count as copies of one another, so one of them stays.
+    An empty table gives no rows. Decisions are per row: a row goes only if its own text has a copy.
     """
-    found = near_duplicates(docs, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs[doc_id] == found["_gone"], "left_anti")
+    marks, named = _grouped(docs, doc_id, text)
+    rows = join_hot(marks, named.select("fp", "root"), ["fp"]).groupBy("root", "doc_id", "h").agg(F.count("*").alias("n"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "n")).alias("x"))
+    id_, h, n = free_names(docs, 3)
+    best = written(best.select(F.col("x.doc_id").alias(id_), F.col("x.h").alias(h), F.col("x.n").alias(n)), "kept")
+    kept = docs.alias("d").join(best.alias("k"), F.col(f"d.`{doc_id}`").eqNullSafe(F.col(f"k.{id_}")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col(f"k.{h}")))
+    several = kept.where(F.col(n) > 1).dropDuplicates([id_, h])  # repeated rows
+    return kept.where(F.col(n) == 1).union(several).select(*[F.col(f"`{c}`") for c in docs.columns])
