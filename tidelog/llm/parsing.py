@@ -22,6 +22,9 @@ from .rolling import between, mix, prefix
 #: Slots of each level, from single characters to phrases of some fifty.
 SLOTS = (4, 4, 8, 24, 24)
 ROUNDS, EMPTY, CHUNK = 4, 0xFFFF, 1_500_000
+#: Bytes of text in a range of documents, about; ranges are made up of parts, FINE of them for each.
+RANGE_BYTES, FINE = 64 << 20, 8
+NO_ID = -(2**63)
 
 
 def _collapse(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,29 +149,64 @@ def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         raise RuntimeError("a part has no guest")
 
 
-def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+class Ranges:
+    """Documents in descending order of doc_id, those without one last, cut into ranges of like size.
+
+    ``bounds``: where parts of doc_ids begin; documents without doc_id are cut by a hash. Each part belongs to a range; ``heads`` has each
+    range's first document as doc_id and hash.
+    """
+
+    def __init__(self, bounds: np.ndarray, shares: int, stats: list[tuple[int, int, int, int]], most: int):
+        """stats: part, bytes, and doc_id and hash of its first document, by part."""
+        self.bounds, self.shares = bounds, shares
+        self.range_of, self.heads, size = np.zeros(len(bounds) + 1 + shares, np.int32), [], most
+        for part, n, key, h in stats:
+            if size + n > most and (size or not self.heads):
+                self.heads.append((key, h))
+                size = 0
+            size += n
+            self.range_of[part] = len(self.heads) - 1
+
+    def parts(self, key: np.ndarray, none: np.ndarray, h: np.ndarray) -> np.ndarray:
+        by_id = len(self.bounds) - np.searchsorted(self.bounds, key, "right")
+        return np.where(none, len(self.bounds) + 1 + (((h >> 48) + (1 << 15)) * self.shares >> 16), by_id)
+
+    def places(self, key: np.ndarray, none: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each document's range, and the range before it where it is its range's first, else -1."""
+        at = self.range_of[self.parts(key, none, h)]
+        keys, hashes = (np.array(x, np.int64) for x in zip(*self.heads, strict=True))
+        return at, np.where((keys[at] == key) & (hashes[at] == h), (at - 1) % len(self.heads), -1)
+
+
+def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Fingerprint each document and its edited text, whose last third is the beginning of the document with the next smaller doc_id.
 
     One row per row of ``docs``: ``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``,
-    ``near_next``. After the smallest doc_id comes the largest; rows without doc_id come after all others; rows of one doc_id follow in
-    order of text. Null texts count as empty. Other columns are ignored; an empty table gives no rows. Documents are cut into ranges of
-    doc_id; each range's first also goes, as a guest, to the range before it, so texts move once. The driver gets a quantile
-    and a largest id for each range.
+    ``near_next``. After the smallest doc_id comes the largest; rows without doc_id come after all others; these, and rows of one doc_id,
+    follow in order of their texts' XXH64, then of their texts. Null texts count as empty. Other columns are ignored; an empty table gives no
+    rows. Documents are cut into ranges of about ``range_bytes``, each a partition; a range's first also goes, as a guest, to the range
+    before it, so texts move once. The driver gets quantiles and a row for each part of a range. A doc_id that most rows share is one range.
     """
     spark = docs.sparkSession
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(key.alias("key"))
-    bounds = np.unique(ids.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else [])
-    part_of = F.pandas_udf(lambda k: pd.Series(len(bounds) - np.searchsorted(bounds, k.to_numpy(), "right")), "int")
-    heads = sorted((r["part"], r["key"]) for r in ids.withColumn("part", part_of("key")).groupBy("part").agg(F.max("key").alias("key")).collect())
-    parts, keys = [p for p, _ in heads], [k for _, k in heads]
-    # a range's first is the guest of the range before it; the very first is that of the last
-    hosts = dict(zip(keys, parts[-1:] + parts[:-1], strict=True))
-    host = F.create_map(*[x for k, p in hosts.items() for x in (F.lit(k).cast("long"), F.lit(p))]) if hosts else F.create_map().cast("map<long,int>")
-    rows = docs.select(key.alias("key"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("part", part_of("key"))
-    stay, visit = F.struct("part", F.lit(False).alias("guest")), F.struct(host[F.col("key")].alias("part"), F.lit(True).alias("guest"))
-    rows = rows.select("key", "doc_id", "text", F.explode(F.array_compact(F.array(stay, F.when(visit["part"].isNotNull(), visit)))).alias("at"))
-    rows = rows.select("at.part", "at.guest", "key", "doc_id", "text").repartition(n, "part")
-    rows = rows.sortWithinPartitions("part", "guest", F.desc("key"), "text").select("part", "guest", "doc_id", "text")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    none, key, h = F.col(doc_id).isNull(), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), F.xxhash64(whole)
+    narrow = docs.select(none.alias("none"), key.alias("key"), h.alias("h"), (F.octet_length(whole) + 1).alias("n"))
+    total, count = narrow.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    most = min(range_bytes, total // (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1)
+    shares = min(65_536, max(1, FINE * -(-total // most)))
+    bounds = np.unique(narrow.where("NOT none").approxQuantile("key", [i / shares for i in range(1, shares)], 0.2 / shares) if shares > 1 and count else []).astype(np.int64)
+    ranges = Ranges(bounds, shares, [], most)
+    part = F.pandas_udf(lambda k, x, h: pd.Series(ranges.parts(k.to_numpy(), x.to_numpy(), h.to_numpy())), "int")
+    first = F.min(F.struct(F.bitwise_not("key").alias("at"), "h")).alias("first")
+    stats = narrow.withColumn("part", part("key", "none", "h")).groupBy("part").agg(F.sum("n").alias("n"), first).collect()
+    ranges = Ranges(bounds, shares, sorted((r["part"], r["n"], ~r["first"]["at"], r["first"]["h"]) for r in stats), most)
+
+    def places(k: pd.Series, x: pd.Series, h: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("part", "host"), ranges.places(k.to_numpy(), x.to_numpy(), h.to_numpy()), strict=True)))
+
+    rows = docs.select(key.alias("key"), h.alias("h"), F.col(doc_id).cast("long").alias("doc_id"), whole.alias("text"), F.pandas_udf(places, "part int, host int")(key, none, h).alias("at"))
+    stay, visit = F.struct("at.part", F.lit(False).alias("guest")), F.struct(F.col("at.host").alias("part"), F.lit(True).alias("guest"))
+    rows = rows.select("key", "h", "doc_id", "text", F.explode(F.when(F.col("at.host") < 0, F.array(stay)).otherwise(F.array(stay, visit))).alias("at"))
+    rows = rows.select("at.part", "at.guest", "key", "h", "doc_id", "text").repartitionById(max(1, len(ranges.heads)), "part")
+    rows = rows.sortWithinPartitions("part", "guest", F.desc("key"), F.col("doc_id").isNull(), "h", "text").select("part", "guest", "doc_id", "text")
     return rows.mapInPandas(_follow, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
