@@ -15,11 +15,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
 from .rolling import mix
 
 BUCKETS, ORDERS, UNKNOWN = 1 << 16, 3, "und"
 #: Labelled rows that weights and temperature are fitted on, at most; every fifth calibrates.
 MAX_TRAIN, EPOCHS = 6000, 2
+#: Buckets that the sample's rows hold in all, at most; long texts make it shorter.
+MAX_ENTRIES = 40_000_000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.02
 
 
@@ -117,20 +120,20 @@ def learnable(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2
 
 
-def _spread(rows: DataFrame, sizes: dict[str, int], max_train: int) -> DataFrame:
-    """At most ``max_train`` rows, by ``h`` as a share of their language's threshold, so that each gives up the same part of its own."""
+def _spread(rows: DataFrame, sizes: dict[str, int], max_train: int, take: int | None = None) -> DataFrame:
+    """At most ``max_train`` rows, or the first ``take`` of them, by ``h`` as a share of their language's threshold, so that each gives up the same part of its own."""
     each = max(1, max_train // len(sizes))
     low = F.create_map(*[F.lit(x) for k in sorted(sizes) for x in (k, min(1.0, 1.1 * each / sizes[k]))])
     part = (F.shiftrightunsigned("h", 11) / float(1 << 53)) / F.element_at(low, F.col("lang"))
-    return rows.where(part < 1).orderBy(part, "h", "lang").limit(max_train)
+    return rows.where(part < 1).orderBy(part, "h", "lang").limit(max_train if take is None else take)
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_train: int = MAX_TRAIN) -> Model:
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_train: int = MAX_TRAIN, max_entries: int = MAX_ENTRIES) -> Model:
     """Learn from texts with letters and their non-null languages in documents that ``learnable`` names.
 
     At most ``max_train`` rows, spread evenly over the languages by a hash of doc_id, fit weights and temperature; document frequencies
-    come from all learnable rows. Without any, the model knows no language. The driver gets the sample's n-gram counts, one
-    row per language and one per bucket.
+    come from all learnable rows. Without any, the model knows no language. The driver gets the sample's n-gram counts (of ``max_entries``
+    buckets in all; the sample ends where long texts hold more), one row per language and one per bucket.
     """
     rows = docs.where(learnable(F.col(doc_id))).select(F.xxhash64(doc_id).alias("h"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -141,7 +144,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     df = np.zeros(BUCKETS + 1)
     for r in rows.select("text").mapInPandas(_document_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         df[r["bucket"]] = r["n"]
-    sample = _spread(rows, sizes, max_train).mapInPandas(_sparse, "h long, lang string, at binary, n binary").collect()
+    costs = [r[0] for r in _spread(rows.select("h", "lang", F.least(F.length("text") * ORDERS, F.lit(BUCKETS)).alias("cost")), sizes, max_train).select("cost").collect()]
+    take = max(1, int(np.searchsorted(np.cumsum(costs), max_entries, "right"))) if costs else 0
+    sample = _spread(rows, sizes, max_train, take).mapInPandas(_sparse, "h long, lang string, at binary, n binary").collect()
     model = Model(languages, np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1, np.zeros((BUCKETS + 1, len(languages))))
     features = [model.features(np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["n"], np.uint32)) for r in sorted(sample, key=lambda r: (r["h"], r["lang"]))]
     labels = np.array([languages.index(r["lang"]) for r in sorted(sample, key=lambda r: (r["h"], r["lang"]))])
@@ -153,7 +158,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 
 def predict(text: Column, model: Model) -> Column:
-    """struct<lang, score> of each whole text; a text that is null or without letters is ``und`` with score 0."""
+    """struct<lang, score> of each whole text; a text that is null or without letters is ``und`` with score 0. The weights, 256 kB a language, travel with the function."""
     weights = model.weights.astype(np.float32)
     shared = Model(model.languages, model.idf.astype(np.float32), weights, model.temperature)
 
@@ -176,7 +181,10 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Rows of ``docs`` whose text has letters and whose predicted language has a probability of ``least`` or more."""
+    """Rows of ``docs`` whose text has letters and whose predicted language has a probability of ``least`` or more.
+
+    All columns stay, whatever their names; rows without doc_id are judged like any other; an empty table gives no rows.
+    """
     model = fit(docs, doc_id, text, lang)
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.select(*names, predict(F.col(text), model).alias("_p")).where((F.col("_p.lang") != UNKNOWN) & (F.col("_p.score") >= least)).select(*names)
+    names, p = [F.col(f"`{c}`") for c in docs.columns], free_names(docs, 1)[0]
+    return docs.select(*names, predict(F.col(text), model).alias(p)).where((F.col(f"{p}.lang") != UNKNOWN) & (F.col(f"{p}.score") >= least)).select(*names)
