@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tidelog.llm import langid, mixing, secrets, simhash
 
@@ -24,3 +26,15 @@ def test_stages_take_effect(spark):
             assert b == sorted(r["doc_id"] for r in mixing.mix(before).collect() for _ in range(r["copies"] if r["taken"] else 0))
     out = corpus_pipeline.encode_pieces(spark, kept, "").collect()
     assert sorted(r["doc_id"] for r in out) == b and all(r["round_trip"] for r in out) and len(rows) > 100
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    names = ["_p", "p", "_copies", "_spans", "h", "n", "fp", "doc", "tmp0", "tmp1", "TMP2", "start", "size", "copies", "_id", "keep"]
+    odd = docs.withColumns({c: F.lit(i) for i, c in enumerate(names)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+        odd = stage(spark, odd, "")
+        assert odd.columns == [*docs.columns, *names], name
+        assert odd.where(" OR ".join(f"`{c}` <> {i}" for i, c in enumerate(names))).count() == 0, name
+    assert corpus_pipeline.encode_pieces(spark, docs.limit(0), "").count() == 0 and corpus_pipeline.encode_pieces(spark, odd, "").count() == odd.count()
