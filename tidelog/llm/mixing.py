@@ -119,30 +119,32 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = MOST
 
 def _copies(rows: DataFrame, weights: dict | None, doc_id: str, text: str, source: str, seed: int, most: int, wide: bool) -> tuple[DataFrame, dict[str, str]]:
     """Rows with the plan's columns, and the names that these have."""
-    name = dict(zip(["id", "s", "size", "h", "cell", "source_size", "target", "copies", "room", "count"], free_names(rows, 10), strict=True))
+    name = dict(zip(["id", "s", "k", "size", "h", "cell", "source_size", "target", "copies", "room", "count"], free_names(rows, 11), strict=True))
     n = lambda k: F.col(name[k])
     h = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
     keyed = rows.select(*(["*"] if wide else []), F.col(doc_id).alias(name["id"]), F.col(source).cast("string").alias(name["s"]), word_count(F.col(text)).alias(name["size"]), h.alias(name["h"]))
+    # a key without nulls, so that one deal serves the join and the window after it
+    keyed = keyed.withColumn(name["k"], F.when(n("s").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), n("s"))))
     keyed = keyed.withColumn(name["cell"], F.shiftrightunsigned(n("h"), 56).cast("int"))
     if not wide:
         keyed = written(keyed, "mix")
-    key = [name["s"], name["size"], name["cell"]]
-    cells = written(keyed.groupBy(*key).agg(F.count("*").alias(name["count"])), "cells")
+    key = [name["k"], name["size"], name["cell"]]
+    cells = written(keyed.groupBy(*key, name["s"]).agg(F.count("*").alias(name["count"])), "cells")
     sizes = {r[0]: int(r[1] or 0) for r in cells.groupBy(name["s"]).agg(F.sum(n("size") * n("count"))).collect()}
     goals = targets(sizes, weights, most) if sizes else {}
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = pdf[name["s"]].iat[0]
-        s = None if pd.isna(s) else s
+        k = pdf[name["k"]].iat[0]
+        s = None if k == "-" else k[1:]
         pdf = pdf.sort_values(name["size"])
         copies, more = fit(pdf[name["size"]].to_numpy(), pdf[name["count"]].to_numpy(), goals[s], most)
-        return pd.DataFrame({"s": [s] * len(pdf), "size": pdf[name["size"]], "source_size": sizes[s], "target": goals[s], "copies": copies, "more": more})
+        return pd.DataFrame({"s": [k] * len(pdf), "size": pdf[name["size"]], "source_size": sizes[s], "target": goals[s], "copies": copies, "more": more})
 
     lengths = cells.groupBy(*key[:2]).agg(F.sum(n("count")).alias(name["count"]))
-    plans = lengths.groupBy(name["s"]).applyInPandas(plan, "s string, size long, source_size long, target double, copies int, more long")
-    same = lambda a, b, pairs: F.expr(" AND ".join(f"{a}.`{x}` <=> {b}.`{y}`" for x, y in pairs))
+    plans = lengths.groupBy(name["k"]).applyInPandas(plan, "s string, size long, source_size long, target double, copies int, more long")
+    same = lambda a, b, pairs: F.expr(" AND ".join(f"{a}.`{x}` = {b}.`{y}`" for x, y in pairs))
     upto = F.sum(n("count")).over(Window.partitionBy(*key[:2]).orderBy(key[2]).rowsBetween(Window.unboundedPreceding, 0))
-    cells = cells.withColumn("upto", upto).alias("c").join(plans.alias("p"), same("c", "p", [(name["s"], "s"), (name["size"], "size")]))
+    cells = cells.withColumn("upto", upto).alias("c").join(plans.alias("p"), same("c", "p", [(name["k"], "s"), (name["size"], "size")]))
     room = F.col("more") - F.col("upto") + n("count")
     cells = cells.select(*[F.col(f"c.{k}").alias(f"{k}_") for k in key], *[F.col(f"p.{k}").alias(name[k]) for k in ("source_size", "target", "copies")], room.alias(name["room"]), n("count"))
     joined = keyed.alias("r").join(cells.alias("c"), same("r", "c", [(k, f"{k}_") for k in key])).drop(*[f"{k}_" for k in key])
