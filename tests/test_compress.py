@@ -93,7 +93,20 @@ def test_sections_chains_and_foreign_frames():
     assert found[0][3] == "[T1] ValueError: 'x' @ U:own.py:2" and found[1][3] == "[T2] extraction_failed"
     chain = TRACE.format("a.py", 1, "f()") + "KeyError: 1\n\nDuring handling\n\n" + TRACE.format("b.py", 2, "g()") + "OSError: gone\n"
     assert [(f.kind, f.message) for f in traces.parse_trace(chain)] == [("KeyError", "1"), ("OSError", "gone")]
-    assert traces.show(traces.parse_trace(chain), "frames") == "OSError: gone\nb.py:2"
+    faults = traces.parse_trace(chain)
+    assert traces.show(faults, "frames", 3) == "Trace 3: a.py → KeyError: 1\nb.py → OSError: gone"
+    assert traces.show(faults, "other") == "ERR KeyError: 1\nERR OSError: gone" and traces.show([], "frames", 2) == "Trace 2: ERR extraction_failed"
+    assert traces.show(faults, "close_lines") == '  File "b.py", line 2, in ?\nERR OSError: gone' and traces.show(faults, "last_only") == "ERR OSError: gone"
+    deep = [traces.Fault("ValueError", "x" * 130, [("/a/one.py", 1, "f"), ("two.py", 2, ""), ("c\\three.py", 3, "g")])]
+    assert traces.show(deep, "first_last") == "first=f() last=g() ERR ValueError: " + "x" * 100 + "…"
+    assert traces.show(deep, "sentry") == "f() [... 1 framework frames hidden ...] g() → ValueError: " + "x" * 100 + "…"
+    assert traces.show(deep, "schema_det", 1) == '{"trace_no": 1, "error_type": "ValueError", "message": "' + "x" * 130 + '", "crashing_file": "three.py", "crashing_line": 3, "crashing_function": "g"}'
+    assert traces.show(deep, "schema_det_tuple") == 'T?(ValueError, "' + "x" * 120 + '", three.py:3, g)'
+    table = traces.extract(["before", *chain.splitlines(), "after"], "schema_det_table")[0]
+    assert table == ["before", "", "During handling", "", "after", "| ID | Type | Message | File:Line | Func |", "|---|---|---|---|---|", "| None | KeyError | 1 | a.py:1 | - |", "| None | OSError | gone | b.py:2 | - |"]
+    kept, held = traces.extract(chain.splitlines()[:4], "rtk_hash")
+    assert kept == [f"ERR KeyError: 1 [HASH_{held[0][0]}]"] and held[0][3].startswith("Traceback")
+    assert traces.extract(["x WARNING: " + "w" * 80, "a WARN", "plain"], warn_len=60)[0] == ["w" * 57 + "...", "a WARN", "plain"]
 
 
 def test_miner_generalises_and_respects_length():

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -88,26 +91,28 @@ def run_lengths(lines: DataFrame) -> DataFrame:
     return out.select("run_id", "first", "n", shown.alias("line"))
 
 
+def _lasting(same: np.ndarray) -> np.ndarray:
+    """For each place how many trues follow one another from there."""
+    at = np.arange(len(same))
+    stop = np.minimum.accumulate(np.where(same, len(same), at)[::-1])[::-1]
+    return stop - at
+
+
 def _timeline(pdf: pd.DataFrame, longest: int) -> pd.DataFrame:
+    """What repeats from each line on is known beforehand: for equal lines and for each period of clusters; a walk then takes the first that holds."""
     pdf = pdf.sort_values("pos")
-    line, key, cid, pos = (pdf[c].tolist() for c in ("line", "key", "cluster", "pos"))
+    line, pos, key, cluster = pdf["line"].tolist(), pdf["pos"].tolist(), pdf["key"].to_numpy(object), pdf["cluster"].to_numpy(object)
+    size = len(line)
+    again = lambda x, by: np.r_[x[:-by] == x[by:], np.zeros(min(by, size), bool)].astype(bool) if by < size else np.zeros(size, bool)
+    equal = _lasting(again(key, 1)) + 1
+    periods = {by: _lasting(again(cluster, by) & (cluster != "")) // by + 1 for by in range(2, longest + 1)}
     at, out = 0, []
-    while at < len(line):
-        n = 1
-        while at + n < len(line) and key[at + n] == key[at]:
-            n += 1
-        size, shown = 1, line[at] if n == 1 else f"[x{n}] {line[at].strip()}"
-        if n == 1:
-            for period in range(2, longest + 1):
-                pattern, times = cid[at : at + period], 1
-                while len(pattern) == period and "" not in pattern and cid[at + times * period : at + (times + 1) * period] == pattern:
-                    times += 1
-                if times > 1:
-                    n, size = times, period
-                    shown = "\n".join([f"[x{times}] Seq:", *(f"  {x.strip()}" for x in line[at : at + period])])
-                    break
-        out.append((pdf["run_id"].iat[0], pos[at], n, shown))
-        at += n * size
+    while at < size:
+        by = 1 if equal[at] > 1 else next((by for by, times in periods.items() if times[at] > 1), 1)
+        n = int(equal[at] if by == 1 else periods[by][at])
+        whole = [f"[x{n}] Seq:", *(f"  {x.strip()}" for x in line[at : at + by])] if by > 1 else [f"[x{n}] {line[at].strip()}" if n > 1 else line[at]]
+        out.append((pdf["run_id"].iat[0], pos[at], n, "\n".join(whole)))
+        at += n * by
     return pd.DataFrame(out, columns=["run_id", "first", "n", "line"])
 
 
@@ -130,29 +135,37 @@ def _cut(x: Column, size: int) -> Column:
     return F.when(F.length(x) > size, F.concat(F.substring(x, 1, size - 3), F.lit("..."))).otherwise(x)
 
 
-def parse_warnings(lines: DataFrame) -> DataFrame:
+def parse_warnings(lines: DataFrame, others: list[str] | None = None) -> DataFrame:
     """``lines`` with ``kind``, ``file``, ``at``, ``message``; ``kind`` is null where a line is no warning."""
     bare, get = t.strip(F.col("line")), lambda x, p, i: F.regexp_extract(x, t.rx(p), i)
     placed, logged = bare.rlike(t.rx(WARN_AT)), bare.rlike(t.rx(WARN_LOG)) & (t.strip(get(bare, WARN_LOG, 2)) != "")
     typed = F.col("line").rlike(t.rx(WARN_TYPED))
     kind = F.when(placed, get(bare, WARN_AT, 3)).when(logged, F.lit("WARNING")).when(typed, get(F.col("line"), WARN_TYPED, 1))
     message = F.when(placed, _cut(t.strip(get(bare, WARN_AT, 4)), 200)).when(logged, _cut(t.strip(get(bare, WARN_LOG, 2)), 120)).when(typed, _cut(t.strip(get(F.col("line"), WARN_TYPED, 2)), 120))
-    return lines.select("run_id", "pos", "line", kind.alias("kind"), F.when(placed, get(bare, WARN_AT, 1)).otherwise("").alias("file"), F.when(placed, get(bare, WARN_AT, 2).cast("int")).alias("at"), message.alias("message"))
+    return lines.select("run_id", "pos", "line", kind.alias("kind"), F.when(placed, get(bare, WARN_AT, 1)).otherwise("").alias("file"), F.when(placed, get(bare, WARN_AT, 2).cast("int")).alias("at"), message.alias("message"), *(others or []))
+
+
+def _shown_warning() -> Column:
+    text = F.when((F.col("file") != "") & F.col("at").isNotNull(), F.format_string("%s @ %s:%d : %s", "kind", "file", "at", "message")).otherwise(F.concat_ws(": ", "kind", "message"))
+    return t.strip(F.when(F.col("n") > 1, F.concat(F.lit("[x"), F.col("n").cast("string"), F.lit("] "), text)).otherwise(text))
 
 
 def group_warnings(lines: DataFrame) -> DataFrame:
     """Warnings by kind, place and message's beginning: ``n``, ``first``, ``line`` as shown."""
     found = parse_warnings(lines).where("kind IS NOT NULL").withColumn("head", F.substring("message", 1, 80))
     out = found.groupBy("run_id", "kind", "file", "at", "head").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.min_by("message", "pos").alias("message"))
-    text = F.when((F.col("file") != "") & F.col("at").isNotNull(), F.format_string("%s @ %s:%d : %s", "kind", "file", "at", "message")).otherwise(F.concat_ws(": ", "kind", "message"))
-    return out.select("run_id", "first", "n", t.strip(F.when(F.col("n") > 1, F.concat(F.lit("[x"), F.col("n").cast("string"), F.lit("] "), text)).otherwise(text)).alias("line"))
+    return out.select("run_id", "first", "n", _shown_warning().alias("line"))
 
 
 def extract_warnings(lines: DataFrame) -> DataFrame:
-    """All other lines in order, then the grouped warnings in order of their first."""
-    rest = parse_warnings(lines).where("kind IS NULL").select("run_id", F.lit(0).alias("part"), "pos", "line")
-    both = rest.union(group_warnings(lines).select("run_id", F.lit(1), "first", "line"))
-    return both.select("run_id", (F.row_number().over(Window.partitionBy("run_id").orderBy("part", "pos")) - 1).alias("pos"), "line")
+    """All other lines in order, then the grouped warnings in order of their first. One pass: of each group its first row stays; columns besides the line's are kept."""
+    others = [c for c in lines.columns if c not in ("run_id", "pos", "line")]
+    found = parse_warnings(lines, others).withColumn("head", F.substring("message", 1, 80))
+    group = Window.partitionBy("run_id", "kind", "file", "at", "head", *([F.when(F.col("kind").isNull(), F.col("pos"))]))
+    counted = found.withColumns({"n": F.count("*").over(group), "first": F.min("pos").over(group)}).where("kind IS NULL OR pos = first")
+    shown = F.when(F.col("kind").isNull(), F.col("line")).otherwise(_shown_warning())
+    order = Window.partitionBy("run_id").orderBy(F.col("kind").isNotNull(), "pos")
+    return counted.select("run_id", (F.row_number().over(order) - 1).alias("pos"), shown.alias("line"), *others)
 
 
 def error_lines(lines: DataFrame) -> DataFrame:
@@ -173,19 +186,29 @@ def block_of_lines(lines: DataFrame, size: int) -> DataFrame:
     return lines.groupBy("run_id", F.floor(F.col("pos") / size).cast("int").alias("block_no")).agg((F.min("pos") + 1).alias("lo"), (F.max("pos") + 1).alias("hi"))
 
 
-def blocks_by_size(lines: DataFrame, budget: int = 15_000) -> DataFrame:
-    """Greedy blocks of up to ``budget`` characters, line ends included; a longer line is a block of its own."""
-    sizes = lines.groupBy("run_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.length("line").alias("n")))), lambda x: x["n"]).alias("sizes"))
-    start = F.expr("named_struct('block', 0, 'used', cast(null as int), 'out', cast(array() as array<int>))")
+def _cuts(pdf: pd.DataFrame, cut) -> pd.DataFrame:
+    """Blocks that begin at line 0 and at the places that ``cut`` yields from the run's values in order."""
+    starts = [0, *cut(pdf.sort_values("pos")["value"].tolist())]
+    ends = [*starts[1:], len(pdf)]
+    return pd.DataFrame({"run_id": pdf["run_id"].iat[0], "block_no": range(len(starts)), "lo": [a + 1 for a in starts], "hi": ends})
+
 
-    def step(a: Column, n: Column) -> Column:
-        fits = a["used"].isNull() | (a["used"] + n + 1 <= budget)
-        block = F.when(fits, a["block"]).otherwise(a["block"] + 1)
-        used = F.when(fits & a["used"].isNotNull(), a["used"] + n + 1).otherwise(n)
-        return F.struct(block.alias("block"), used.alias("used"), F.array_append(a["out"], block).alias("out"))
+def size_cuts(sizes: list[int], budget: int) -> Iterator[int]:
+    used = -1
+    for i, n in enumerate(sizes):
+        used += n + 1
+        if used > budget and i:
+            yield i
+            used = n
 
-    each = sizes.select("run_id", F.posexplode(F.aggregate("sizes", start, step, lambda a: a["out"])).alias("i", "block_no"))
-    return each.groupBy("run_id", "block_no").agg((F.min("i") + 1).alias("lo"), (F.max("i") + 1).alias("hi"))
+
+BLOCKS = "run_id string, block_no int, lo int, hi int"
+
+
+def blocks_by_size(lines: DataFrame, budget: int = 15_000) -> DataFrame:
+    """Greedy blocks of up to ``budget`` characters, line ends included; a longer line is a block of its own. Only the lines' lengths are folded."""
+    sizes = lines.select("run_id", "pos", F.length("line").alias("value"))
+    return sizes.groupBy("run_id").applyInPandas(lambda pdf: _cuts(pdf, lambda x: size_cuts(x, budget)), BLOCKS)
 
 
 def line_time(x: Column, year: int = 2026) -> Column:
@@ -195,24 +218,24 @@ def line_time(x: Column, year: int = 2026) -> Column:
     return F.coalesce(t.elapsed_seconds(x), month.cast("double"), iso.cast("double"))
 
 
+def time_cuts(times: list[float], seconds: float) -> Iterator[int]:
+    since = times[0]
+    for i, at in enumerate(times[:-1]):
+        if at - since >= seconds:
+            yield i + 1
+            since = at
+
+
 def blocks_by_time(lines: DataFrame, seconds: float = 3000) -> DataFrame:
     """Blocks that close with the line ``seconds`` or more after their start; lines without a time have that before them.
 
-    The next block starts at that line's time, so a run's times are folded in order, inside the JVM.
+    The next block starts at that line's time, so a run's times, and nothing else of it, are folded in order.
     """
     last = F.last(line_time(F.col("line")), ignorenulls=True).over(_run())
     timed = lines.select("run_id", "pos", last.alias("at"))
     first = F.min_by("at", F.when(F.col("at").isNotNull(), F.col("pos"))).over(Window.partitionBy("run_id"))
-    timed = timed.select("run_id", "pos", F.coalesce(F.col("at") - first, F.lit(0.0)).alias("at"))
-    each = timed.groupBy("run_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "at"))), lambda x: x["at"]).alias("times"))
-    start = F.struct(F.lit(0).alias("block"), F.get("times", F.lit(0)).alias("since"), F.expr("cast(array() as array<int>)").alias("out"))
-
-    def step(a: Column, at: Column) -> Column:
-        closes = at - a["since"] >= seconds
-        return F.struct(F.when(closes, a["block"] + 1).otherwise(a["block"]).alias("block"), F.when(closes, at).otherwise(a["since"]).alias("since"), F.array_append(a["out"], a["block"]).alias("out"))
-
-    rows = each.select("run_id", F.posexplode(F.aggregate("times", start, step, lambda a: a["out"])).alias("i", "block_no"))
-    return rows.groupBy("run_id", "block_no").agg((F.min("i") + 1).alias("lo"), (F.max("i") + 1).alias("hi"))
+    timed = timed.select("run_id", "pos", F.coalesce(F.col("at") - first, F.lit(0.0)).alias("value"))
+    return timed.groupBy("run_id").applyInPandas(lambda pdf: _cuts(pdf, lambda x: time_cuts(x, seconds)), BLOCKS)
 
 
 def route(lines: DataFrame) -> DataFrame:
@@ -237,14 +260,3 @@ def fuzzy_dedup(lines: DataFrame, least: float = 0.85, window: int | None = 3) -
     guarded = F.col("line").rlike(r"(?i)(pass_rate\s*=|traceback|exception|Phase\s+\d+\s+Track|===\s*scripts/run\.py)")
     keyed = lines.select("run_id", "pos", "line", t.tokens(F.col("line")).alias("words"), guarded.alias("guarded"))
     return keyed.groupBy("run_id").applyInPandas(lambda pdf: _fuzzy(pdf, least, window), SCHEMA)
-
-
-# Pairs of a name and a number or identifier.
-PAIR = r"([A-Za-z_][\w.-]*)=([A-Za-z0-9_.+-]+)"
-
-
-def pair_counts(lines: DataFrame, more_than: int = 0) -> DataFrame:
-    """How often each ``key=value`` pair occurs in a run."""
-    pairs = F.arrays_zip(F.regexp_extract_all("line", F.lit(PAIR), F.lit(1)).alias("k"), F.regexp_extract_all("line", F.lit(PAIR), F.lit(2)).alias("v"))
-    each = lines.select("run_id", F.explode(pairs).alias("p")).groupBy("run_id", F.col("p.k").alias("k"), F.col("p.v").alias("v")).agg(F.count("*").alias("n"))
-    return each.where(F.col("n") > more_than)

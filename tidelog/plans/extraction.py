@@ -47,6 +47,7 @@ def event_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "pair_rows": lambda s, d: values.pair_rows(event_log(s, d)),
+    "pair_counts": lambda s, d: values.pair_counts(event_log(s, d), 2),
     "pair_line_merge": lambda s, d: values.merge_pair_lines(event_log(s, d)),
     "time_blocks": lambda s, d: ln.blocks_by_time(event_log(s, d), 86_400),
     "command_tracks": lambda s, d: commands.classify(command_list(s, d), shell=F.col("in_shell")),
@@ -65,11 +66,16 @@ QUERIES = {
 }
 
 _PAIR = r"(?:^|[^\w.])([a-zA-Z_][\w.]*)\s*=\s*([^\s,;|]+)"
+#: No line of these logs holds two pairs with colons.
+_COLON = r"(?:^|[^\d\w.])([A-Za-z_]\w*):\s+([^\s]+)"
 _FAULTS = "f AS (SELECT *, event_id % 3 = 0 AS bad, sum((event_id % 3 = 0)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS n FROM events)"
 
 SQL = {
     "pair_rows": f"""WITH {EVENTS}, p AS (SELECT run_id, pos, unnest(regexp_extract_all(line, '{_PAIR}', 1)) AS k, unnest(regexp_extract_all(line, '{_PAIR}', 2)) AS v FROM log)
 SELECT run_id, pos::INT AS pos, k, v FROM p WHERE regexp_full_match(v, '{values.PLAIN_VALUE}')""",
+    "pair_counts": f"""WITH {EVENTS}, p AS (SELECT run_id, unnest(regexp_extract_all(line, '{_PAIR}', 1)) AS k, unnest(regexp_extract_all(line, '{_PAIR}', 2)) AS v FROM log
+UNION ALL SELECT run_id, unnest(list_distinct(regexp_extract_all(line, '{_COLON}', 1))) AS k, unnest(list_distinct(regexp_extract_all(line, '{_COLON}', 2))) AS v FROM log)
+SELECT run_id, k, v, count(*) AS n FROM p WHERE regexp_full_match(v, '{values.PLAIN_VALUE}') OR regexp_matches(v, '^(/|[.]/|https?://)') GROUP BY run_id, k, v HAVING count(*) > 2""",
     "pair_line_merge": f"""WITH {EVENTS}, m AS (SELECT *, regexp_matches(line, '{_PAIR}') AS is_pair FROM log),
 o AS (SELECT *, CASE WHEN is_pair AND coalesce(lag(is_pair) OVER w, false) THEN 0 ELSE 1 END AS o FROM m WINDOW w AS (PARTITION BY run_id ORDER BY pos)),
 i AS (SELECT *, sum(o) OVER (PARTITION BY run_id ORDER BY pos) AS island FROM o)

@@ -78,7 +78,6 @@ QUERIES = {
     "temporal_strip": lambda s, d: ln.drop_blank(ln.change(event_log(s, d), t.strip_temporal)),
     "sanitize": lambda s, d: ln.sanitize(event_log(s, d)),
     "warning_groups": lambda s, d: ln.group_warnings(event_log(s, d)),
-    "pair_counts": lambda s, d: ln.pair_counts(event_log(s, d), 2),
     "route": lambda s, d: ln.route(_lines(s, d)),
     "line_blocks": lambda s, d: ln.block_of_lines(_lines(s, d), 10),
     "size_blocks": lambda s, d: ln.blocks_by_size(_lines(s, d), 2000),
@@ -103,7 +102,6 @@ SQL = {
     "temporal_strip": f"WITH {EVENTS}, cleaned AS (SELECT run_id, pos, trim({_replace('line', (t.LOGURU_TIME, ''), (t.LOGURU, ''), (t.RUNNER, ''), (t.SYSLOG, ''), (t.APACHE, ''), (t.THREAD_TIME, '<TS>'), (t.HEX_ADDRESS, '<ADDR>'), (t.PID, '[PID]'))}) AS line FROM log) SELECT run_id, pos::INT AS pos, line FROM cleaned WHERE line <> ''",
     "sanitize": f"WITH {EVENTS}, cleaned AS (SELECT run_id, pos, {_SANITIZED} AS line FROM log) SELECT run_id, pos::INT AS pos, line FROM cleaned WHERE line <> ''",
     "warning_groups": f"WITH {EVENTS}, w AS (SELECT run_id, pos, CASE WHEN line LIKE 'app/mod%' THEN 'UserWarning @ app/mod.py:' || regexp_extract(line, ':(\\d+):', 1) || ' : ' || regexp_extract(line, 'Warning: (.*)$', 1) ELSE line END AS text FROM log WHERE line LIKE 'app/mod%' OR line LIKE 'WARNING%') SELECT run_id, min(pos)::INT AS first, count(*) AS n, CASE WHEN count(*) > 1 THEN '[x' || count(*) || '] ' ELSE '' END || text AS line FROM w GROUP BY run_id, text",
-    "pair_counts": f"WITH {EVENTS}, p AS (SELECT run_id, unnest(regexp_extract_all(line, '{ln.PAIR}', 1)) AS k, unnest(regexp_extract_all(line, '{ln.PAIR}', 2)) AS v FROM log) SELECT run_id, k, v, count(*) AS n FROM p GROUP BY run_id, k, v HAVING count(*) > 2",
     "route": f"WITH {LINES}, n AS (SELECT run_id, sum(length(line))::BIGINT AS chars FROM log GROUP BY run_id) SELECT run_id, chars, CASE WHEN chars < 1500 THEN 'very_short' WHEN chars < 3000 THEN 'short' WHEN chars < 10000 THEN 'medium' ELSE 'full' END AS route FROM n",
     "line_blocks": f"WITH {LINES} SELECT run_id, (pos // 10)::INT AS block_no, (min(pos) + 1)::INT AS lo, (max(pos) + 1)::INT AS hi FROM log GROUP BY run_id, pos // 10",
     "size_blocks": f"WITH RECURSIVE {LINES}, g AS (SELECT run_id, pos, 0 AS block_no, length(line) AS used FROM log WHERE pos = 0 UNION ALL SELECT l.run_id, l.pos, CASE WHEN g.used + length(l.line) + 1 <= 2000 THEN g.block_no ELSE g.block_no + 1 END, CASE WHEN g.used + length(l.line) + 1 <= 2000 THEN g.used + length(l.line) + 1 ELSE length(l.line) END FROM g JOIN log l ON l.run_id = g.run_id AND l.pos = g.pos + 1) SELECT run_id, block_no, (min(pos) + 1)::INT AS lo, (max(pos) + 1)::INT AS hi FROM g GROUP BY run_id, block_no",
