@@ -152,3 +152,21 @@ def test_empty_tables(spark):
     for made in (traces.extract_traces(none), values.extract_values(none), clusters.cluster_lines(none), clusters.project(none), values.merge_pair_lines(none), ln.blocks_by_time(none)):
         assert made.count() == 0
     assert compress.compress(spark.createDataFrame([], "run_id string, text string")).count() == 0
+
+
+def test_each_fold_runs_once(spark):
+    runs = spark.createDataFrame([("a", "x")], "run_id string, text string")
+    plan = compress.compress(runs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 3
+
+
+def test_a_failing_stage_falls_back(spark, monkeypatch):
+    guarded = compress._guarded(lambda pdf: 1 / 0, ["run_id", "pos", "line", "part", "record"])
+    import pandas as pd
+
+    out = guarded(pd.DataFrame([("a", 0, "x", "line", None)], columns=["run_id", "pos", "line", "part", "record"]))
+    assert out["part"].tolist() == ["line", "failed"]
+    short = spark.createDataFrame([("a", "full", [], [], [], [], True), ("b", "short", ["[T1] E", "### Block 1"], [{"id": "1", "line_no": 1, "kind": "stack_trace", "summary": "", "keys": [], "value": "[T1] E: 'x'\nmore", "size": 1, "block_no": 0}], [{"id": "2", "line_no": 1, "kind": "kv", "summary": "", "keys": ["k"], "value": '{"k": 1}', "size": 1, "block_no": 1}], [(1, 3)], False)], compress.SHORT)
+    made = {r["run_id"]: r for r in compress.assemble(short).collect()}
+    assert made["a"]["failed"] and made["b"]["text"] == "[T1] E: 'x'\n### Block 1\nExtracted Values:\n[#2] k"
+    assert {r["run_id"]: r["text"] for r in compress.assemble(short, "pointer").collect()}["b"].endswith("[CONTEXT POINTERS]: [#2] k")

@@ -221,3 +221,39 @@ def jaccard(a: Column, b: Column) -> Column:
 def merge_output(out: Column, err: Column) -> Column:
     trimmed = [F.nullif(sub(x, r"\s+$"), F.lit("")) for x in (out, err)]
     return F.concat_ws("\n", *trimmed)
+
+
+def clean_chars(x: Column, ansi: bool = False, progress: str | None = None, arrays: bool = False, tabs: bool = False, extra: bool = False, numbers: bool = False, special: bool = False) -> Column:
+    """A line cleaned by the rules asked for, in their fixed order; null where nothing is left, or where ``progress`` is ``drop`` and the line shows progress."""
+    kept = strip_ansi(x) if ansi else x
+    dropped = kept.rlike(rx(PROGRESS)) if progress == "drop" else F.lit(False)
+    kept = tag_progress(kept) if progress == "collapse" else kept
+    kept = mask_arrays(kept) if arrays else kept
+    kept = tab_spaces(kept) if tabs else kept
+    for asked, pattern in ((extra, SPECIAL_EXTRA), (numbers, ALL_NUMBERS), (special, SPECIAL)):
+        if asked:
+            kept = keeping(kept, MASKS, lambda y, pattern=pattern: squeeze(sub(y, pattern, " ")))
+    return F.when(~dropped & ~is_blank(kept), strip(kept))
+
+
+def signature(x: Column) -> Column:
+    """A line with numbers and long words masked, so that lines of one form are alike."""
+    return strip(sub(sub(x, r"\d+(?:\.\d+)?", "<N>"), r"\S{20,}", "<BLOB>"))
+
+
+def stub(x: Column, pos: Column) -> Column:
+    """The beginning of a line whose values are kept elsewhere: up to 80 characters of what a module's name comes before, else up to 100."""
+    lead = F.regexp_extract(x, rx(r"^(\d+\.?\d*s\s+\d+\s+)?"), 1)
+    rest = F.substring(F.regexp_extract(F.substring(x, F.length(lead) + 1, F.length(x)), r"^([^\n]*)", 1), 1, 120)
+    head, tail = F.substring_index(rest, " - ", 1), F.substring(rest, F.locate(" - ", rest) + 3, F.lit(80))
+    return F.concat(lead, F.when(F.contains(rest, F.lit(" - ")), F.concat(head, F.lit(" - "), tail)).otherwise(F.substring(rest, 1, 100)), F.lit("…"))
+
+
+def clip(x: Column, width: int) -> Column:
+    """Exactly ``width`` characters: cut with a mark, or filled up with spaces."""
+    return F.when(F.length(x) > width, F.concat(F.substring(x, 1, width - 1), F.lit("…"))).otherwise(F.rpad(x, width, " "))
+
+
+def short_date(x: Column) -> Column:
+    """Month and day of an ISO time stamp; its first characters where it is none."""
+    return F.coalesce(F.date_format(x.try_cast("timestamp"), "MMM dd"), F.substring(x, 1, 6))

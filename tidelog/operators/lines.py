@@ -240,8 +240,9 @@ def blocks_by_time(lines: DataFrame, seconds: float = 3000) -> DataFrame:
 
 def route(lines: DataFrame) -> DataFrame:
     """Each run's characters and route by size."""
-    n = lines.groupBy("run_id").agg(F.sum(F.length("line")).alias("chars"))
-    return n.withColumn("route", F.when(F.col("chars") < 1500, "very_short").when(F.col("chars") < 3000, "short").when(F.col("chars") < 10_000, "medium").otherwise("full"))
+    from .routing import route as by_size
+
+    return lines.groupBy("run_id").agg(F.sum(F.length("line")).alias("chars")).withColumn("route", by_size(F.col("chars")))
 
 
 def _fuzzy(pdf: pd.DataFrame, least: float, window: int | None) -> pd.DataFrame:

@@ -6,7 +6,7 @@ A run's records are gathered into one array: the store caps them for each block.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -30,13 +30,22 @@ def label(id_: Column, keys: Column, form: str = "bracket") -> Column:
     return F.when(shown == "", pointer(id_, form)).otherwise(F.concat_ws(" ", pointer(id_, form), shown))
 
 
+HELD = "array<struct<at:int,n:int,id:string,last:boolean,keys:array<string>,label:string>>"
+
+
+def _arranged(records: Column, form: str) -> Column:
+    """A run's records in order of lines: line, id, keys, label, and whether the last of its line."""
+    order = F.transform(records, lambda r: F.struct(r["line_no"].cast("int").alias("at"), F.length(r["id"]).alias("n"), r["id"].alias("id"), r["keys"].alias("keys"), label(r["id"], r["keys"], form).alias("label")))
+    placed = F.sort_array(order)
+    last = lambda i: ~(F.get(placed, i + 1)["at"] == F.get(placed, i)["at"])
+    each = F.transform(placed, lambda r, i: F.struct(r["at"].alias("at"), r["n"].alias("n"), r["id"].alias("id"), F.coalesce(last(i), F.lit(True)).alias("last"), r["keys"].alias("keys"), r["label"].alias("label")))
+    return F.coalesce(each.cast(HELD), F.array().cast(HELD))
+
+
 def _gathered(texts: DataFrame, records: DataFrame, form: str) -> DataFrame:
-    """Texts with their run's records in order of lines as ``held``: line, id, keys, label, and whether the last of its line."""
-    order = F.struct(F.length("id").alias("n"), "id")
-    last = F.max(order).over(Window.partitionBy("run_id", "line_no"))
-    each = records.withColumn("last", last == order).select("run_id", F.struct(F.col("line_no").cast("int").alias("at"), F.length("id").alias("n"), "id", "last", "keys", label(F.col("id"), F.col("keys"), form).alias("label")).alias("r"))
-    held = each.groupBy("run_id").agg(F.sort_array(F.collect_list("r")).alias("held"))
-    return texts.join(held, "run_id", "left").withColumn("held", F.coalesce("held", F.expr("cast(array() as array<struct<at:int,n:int,id:string,last:boolean,keys:array<string>,label:string>>)")))
+    """Texts with their run's records in order of lines as ``held``."""
+    held = records.groupBy("run_id").agg(F.collect_list(F.struct("line_no", "id", "keys")).alias("held"))
+    return texts.join(held, "run_id", "left").withColumn("held", _arranged(F.col("held"), form))
 
 
 def _after_matches(text: Column, pattern: str, suffix) -> Column:
@@ -63,39 +72,45 @@ def _by_lines() -> Column:
     return F.when(out != F.col("text"), out).otherwise(_footer())
 
 
-def by_lines(texts: DataFrame, records: DataFrame, form: str = "bracket") -> DataFrame:
-    """After each anchor of lines up to three pointers to what those lines held; a footer of pointers where no anchor has any."""
-    return _gathered(texts, records, form).withColumn("text", _by_lines()).drop("held")
-
-
-def by_blocks(texts: DataFrame, records: DataFrame, form: str = "bracket") -> DataFrame:
-    """After each anchor of a block up to five pointers, one a line; by lines where no block has any."""
+def _by_blocks() -> Column:
     out = _after_matches(F.col("text"), BLOCK_ANCHOR, lambda g: _within(g(1).cast("int"), g(2).cast("int"), PER_BLOCK_ANCHOR, False, "\n", "\n"))
-    return _gathered(texts, records, form).withColumn("text", F.when(out != F.col("text"), out).otherwise(_by_lines())).drop("held")
-
-
-def footer(texts: DataFrame, records: DataFrame, form: str = "bracket") -> DataFrame:
-    """The first twelve pointers at the text's end."""
-    return _gathered(texts, records, form).withColumn("text", _footer()).drop("held")
+    return F.when(out != F.col("text"), out).otherwise(_by_lines())
 
 
-def with_keys(texts: DataFrame, records: DataFrame) -> DataFrame:
-    """After each pointer the first three keys of its record, found by the id or by its first three characters."""
-
+def _with_keys() -> Column:
     def keys(g) -> Column:
         id_ = F.concat(*[F.coalesce(g(i), F.lit("")) for i in (1, 2, 3, 4)])
         known = lambda wanted: F.get(F.filter("held", lambda r: r["id"] == wanted), F.lit(0))["keys"]
         shown = F.array_join(F.slice(F.array_sort(F.coalesce(known(id_), known(F.substring(id_, 1, 3)))), 1, 3), ", ")
         return F.when(shown != "", F.concat(F.lit(" ("), shown, F.lit(")"))).otherwise("")
 
-    return _gathered(texts, records, "bracket").withColumn("text", _after_matches(F.col("text"), POINTER, keys)).drop("held")
+    return _after_matches(F.col("text"), POINTER, keys)
+
 
+#: ``line_anchor``: after each anchor of lines up to three pointers to what those lines held; a footer of pointers where no anchor has any.
+#: ``line_anchor_block``: after each anchor of a block up to five pointers, one a line; by lines where no block has any.
+#: ``minimal_keys``: after each pointer the first three keys of its record, found by the id or by its first three characters.
+#: ``pointer``: the first twelve pointers at the text's end.
+STRATEGIES = {"none": lambda: F.col("text"), "line_anchor": _by_lines, "line_anchor_block": _by_blocks, "minimal_keys": _with_keys, "pointer": _footer}
 
-STRATEGIES = {"none": lambda texts, records: texts, "line_anchor": by_lines, "line_anchor_block": by_blocks, "minimal_keys": with_keys, "pointer": footer}
 
+def _strategy(name: str) -> Column:
+    if name not in STRATEGIES:
+        raise ValueError(f"unknown strategy: {name}")
+    return STRATEGIES[name]()
 
-def paste(texts: DataFrame, records: DataFrame, strategy: str) -> DataFrame:
+
+def paste(texts: DataFrame, records: DataFrame, strategy: str, form: str = "bracket") -> DataFrame:
     """Texts with pointers by a named strategy; ValueError for a name that is not known."""
-    if strategy not in STRATEGIES:
-        raise ValueError(f"unknown strategy: {strategy}")
-    return STRATEGIES[strategy](texts, records)
+    pasted = _strategy(strategy)
+    return texts if strategy == "none" else _gathered(texts, records, form).withColumn("text", pasted).drop("held")
+
+
+def paste_held(texts: DataFrame, records: Column, strategy: str, form: str = "bracket") -> DataFrame:
+    """As ``paste``, where each text's records stand beside it as an array."""
+    pasted = _strategy(strategy)
+    return texts.withColumn("held", _arranged(records, form)).withColumn("text", pasted).drop("held")
+
+
+def footer(texts: DataFrame, records: DataFrame, form: str = "bracket") -> DataFrame:
+    return paste(texts, records, "pointer", form)
