@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import clusters, commands, paste, traces, values
+from ..functions import text as t
+from ..operators import clusters, commands, headings, paste, routing, summaries, traces, values
 from ..operators import lines as ln
 from . import compress
-from .queries import EVENTS, event_log
+from ..sources.logs import stage_stats
+from .queries import EVENTS, _SANITIZED, event_log
 
 
 def fault_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +47,57 @@ def event_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_log(spark, sf_dir).groupBy("run_id").agg(F.array_join(rows, "\n").alias("text"))
 
 
+#: A template for each kind of line that ``event_log`` renders.
+TEMPLATES = ("<:STAMP:> | INFO | app.core:run:12 - user=<*> event=<*>", "step <*> done", "<*>%|##| <*>/500 [00:01<00:00, 8.0it/s]", "app/mod.py:<*>: UserWarning: value <*> is deprecated", "WARNING: retry <*>", "host=api.example.com port=8080 id=<*>", "job", "{}")
+
+
+def event_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's log of events with the kind of its lines as their cluster; idle lines have none."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("run_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("pos"), (F.col("event_id") % 8).cast("int").alias("c"))
+    lines = event_log(spark, sf_dir).join(e, ["run_id", "pos"])
+    cluster = F.when(F.col("line") == "idle", -1).otherwise(F.col("c"))
+    return lines.select("run_id", "pos", "line", cluster.alias("cluster"), F.when(cluster >= 0, F.get(F.array(*map(F.lit, TEMPLATES)), F.col("c"))).alias("template"))
+
+
+def heading_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each user's events as records of one pair, ten a block; a text with a heading for each block; the blocks."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = e.select(F.col("user_id").cast("string").alias("run_id"), at.alias("line_no"), F.col("event_id").cast("string").alias("id"), "event_type")
+    value = F.to_json(F.map_from_arrays(F.array("event_type"), F.array("id")))
+    records = rows.select("run_id", "id", "line_no", F.lit("kv").alias("kind"), F.lit("").alias("summary"), F.array("event_type").alias("keys"), value.alias("value"), F.length(value).alias("size"), (F.floor((F.col("line_no") - 1) / 10) + 1).cast("int").alias("block_no"))
+    blocks = records.groupBy("run_id", "block_no").agg(F.min("line_no").alias("lo"), F.max("line_no").alias("hi"))
+    texts = blocks.groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("block_no")), lambda n: F.format_string("### Block %d", n)), "\n").alias("text"))
+    return texts, records, blocks
+
+
+def dict_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line with an object for each event; at every fifth a nested one in single quotes."""
+    n = F.col("event_id").cast("string")
+    plain = F.concat(F.lit('ev {"type": "'), F.col("event_type"), F.lit('", "id": '), n, F.lit("} end"))
+    nested = F.concat(F.lit("x {'outer': {'inner': "), n, F.lit("}, 'more': True}"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(n.alias("run_id"), F.lit(0).alias("pos"), F.when(F.col("event_id") % 5 == 0, nested).otherwise(plain).alias("line"))
+
+
+def size_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's route by size, the older route, and what the route allows."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    r = routing.route(F.col("chars"))
+    return d.select("doc_id", r.alias("route"), routing.legacy_route(F.col("chars")).alias("legacy"), routing.allows_values(r).alias("values"), routing.needs_sanitizing(r).alias("sanitize"), routing.allows_distilling(r).alias("distil"), routing.allows_timeline(r).alias("timeline"))
+
+
 QUERIES = {
+    "paste_headings": lambda s, d: headings.paste_blocks(*heading_texts(s, d)),
+    "size_gates": size_gates,
+    "cluster_runs": lambda s, d: clusters.template_runs(event_clusters(s, d)),
+    "cluster_templates": lambda s, d: clusters.templates(event_clusters(s, d)).select("run_id", "cluster", "template", "n", F.col("samples")[0].alias("sample")),
+    "inline_timeline": lambda s, d: clusters.inline_timeline(event_clusters(s, d)),
+    "cluster_parameters": lambda s, d: clusters.template_parameters(event_clusters(s, d).where("cluster = 5")).select("run_id", "id", "line_no", "value"),
+    "signature_counts": lambda s, d: summaries.signature_counts(event_log(s, d)),
+    "char_clean": lambda s, d: event_log(s, d).select("run_id", "pos", t.clean_chars(F.col("line"), ansi=True, extra=True, numbers=True, special=True).alias("line")).where("line IS NOT NULL"),
+    "masked_dicts": lambda s, d: summaries.mask_dicts(dict_log(s, d)).select("run_id", "line", F.array_join("keys", ",").alias("keys"), "raw"),
+    "stage_stats": lambda s, d: stage_stats(event_log(s, d), ln.sanitize(event_log(s, d))),
     "pair_rows": lambda s, d: values.pair_rows(event_log(s, d)),
     "pair_counts": lambda s, d: values.pair_counts(event_log(s, d), 2),
     "pair_line_merge": lambda s, d: values.merge_pair_lines(event_log(s, d)),
@@ -70,7 +122,34 @@ _PAIR = r"(?:^|[^\w.])([a-zA-Z_][\w.]*)\s*=\s*([^\s,;|]+)"
 _COLON = r"(?:^|[^\d\w.])([A-Za-z_]\w*):\s+([^\s]+)"
 _FAULTS = "f AS (SELECT *, event_id % 3 = 0 AS bad, sum((event_id % 3 = 0)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS n FROM events)"
 
+_CLUSTERS = """tagged AS (SELECT l.*, CASE WHEN line = 'idle' THEN -1 ELSE c END AS cluster, CASE WHEN line <> 'idle' THEN ([{0}])[c + 1] END AS template
+ FROM log l JOIN (SELECT CAST(user_id AS VARCHAR) AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, (event_id % 8)::INT AS c FROM events) e ON l.run_id = e.run_id AND l.pos = e.pos)""".format(", ".join(f"'{x}'" for x in TEMPLATES))
+_ISLANDS = """opened AS (SELECT *, CASE WHEN cluster >= 0 AND cluster = lag(cluster) OVER (PARTITION BY run_id ORDER BY pos) THEN 0 ELSE 1 END AS o FROM tagged),
+islands AS (SELECT *, sum(o) OVER (PARTITION BY run_id ORDER BY pos) AS island FROM opened)"""
+_SQUEEZED = "trim(regexp_replace(regexp_replace({}, '{}', ' ', 'g'), '[ \\t]+', ' ', 'g'))"
+_CLEANED = r"regexp_replace(line, '\x1b\[[0-?9;]*[ -/]*[@-~]', '', 'g')"
+for _pattern in (t.SPECIAL_EXTRA, t.ALL_NUMBERS, t.SPECIAL):
+    _CLEANED = _SQUEEZED.format(_CLEANED, _pattern)
+
 SQL = {
+    "paste_headings": """WITH r AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS spot FROM events),
+b AS (SELECT run_id, (spot - 1) // 10 + 1 AS block, arg_max(event_id, spot) AS last, count(*) AS n, list_sort(list_distinct(list(event_type))) AS keys FROM r GROUP BY ALL)
+SELECT run_id, string_agg('### Block ' || block || chr(10) || 'Extracted Values:' || chr(10) || '[#' || last || '] ' || array_to_string(keys[:3], ', ') || CASE WHEN len(keys) > 5 THEN '...' ELSE '' END, chr(10) ORDER BY block) AS text FROM b GROUP BY run_id""",
+    "size_gates": """WITH d AS (SELECT doc_id, coalesce(length(text), 0) AS n FROM documents), r AS (SELECT *, CASE WHEN n < 1500 THEN 'very_short' WHEN n < 3000 THEN 'short' WHEN n < 10000 THEN 'medium' ELSE 'full' END AS route FROM d)
+SELECT doc_id, route, CASE WHEN n < 3000 THEN 'stop' WHEN n < 10000 THEN 'ghost_only' ELSE 'full' END AS legacy, route = 'full' AS values, route IN ('medium', 'full') AS sanitize, route IN ('medium', 'full') AS distil, true AS timeline FROM r""",
+    "cluster_runs": f"""WITH {EVENTS}, {_CLUSTERS}, {_ISLANDS}
+SELECT run_id, min(pos)::INT AS first, count(*) AS n, any_value(cluster) AS cluster, CASE WHEN count(*) > 1 THEN '[x' || count(*) || '] ' || any_value(template) ELSE arg_min(line, pos) END AS line FROM islands GROUP BY run_id, island""",
+    "cluster_templates": f"WITH {EVENTS}, {_CLUSTERS} SELECT run_id, cluster, any_value(template) AS template, count(*) AS n, arg_min(line, pos) AS sample FROM tagged WHERE cluster >= 0 GROUP BY run_id, cluster",
+    "inline_timeline": f"""WITH {EVENTS}, {_CLUSTERS}, {_ISLANDS}, held AS (SELECT *, count(*) OVER (PARTITION BY run_id, cluster) AS held, first(line) OVER (PARTITION BY run_id, cluster ORDER BY pos) AS sample, regexp_replace(template, '<:[^:]*:', '<MASK>', 'g') AS shown FROM islands WHERE cluster >= 0)
+SELECT run_id, min(pos)::INT AS first, count(*) AS n, CASE WHEN any_value(held) <= 2 THEN any_value(shown) || chr(10) || '  sample: ' || any_value(sample) ELSE '[x' || count(*) || '] <DRAIN:' || any_value(cluster) || '> ' || any_value(shown) END AS line
+FROM held GROUP BY run_id, island, CASE WHEN held <= 2 THEN pos END""",
+    "cluster_parameters": f"""WITH {EVENTS}, {_CLUSTERS}, v AS (SELECT run_id, pos, '{{"val_0": "' || regexp_extract(line, 'id=(.*)$', 1) || '"}}' AS value FROM tagged WHERE cluster = 5),
+k AS (SELECT *, upper(sha256(value)[:3]) AS id FROM v) SELECT run_id, id, (min(pos) + 1)::INT AS line_no, arg_min(value, pos) AS value FROM k GROUP BY run_id, id""",
+    "signature_counts": f"WITH {EVENTS} SELECT run_id, trim(regexp_replace(regexp_replace(line, '\\d+(?:\\.\\d+)?', '<N>', 'g'), '\\S{{20,}}', '<BLOB>', 'g')) AS signature, count(*) AS n FROM log GROUP BY ALL",
+    "char_clean": f"WITH {EVENTS}, c AS (SELECT run_id, pos::INT AS pos, {_CLEANED} AS line FROM log) SELECT * FROM c WHERE line <> ''",
+    "masked_dicts": """SELECT CAST(event_id AS VARCHAR) AS run_id, CASE WHEN event_id % 5 = 0 THEN 'x <MASK>' ELSE 'ev <MASK> end' END AS line, CASE WHEN event_id % 5 = 0 THEN 'outer,more' ELSE 'type,id' END AS keys,
+CASE WHEN event_id % 5 = 0 THEN '{' || chr(39) || 'outer' || chr(39) || ': {' || chr(39) || 'inner' || chr(39) || ': ' || event_id || '}, ' || chr(39) || 'more' || chr(39) || ': True}' ELSE '{"type": "' || event_type || '", "id": ' || event_id || '}' END AS raw FROM events""",
+    "stage_stats": f"WITH {EVENTS}, c AS (SELECT run_id, {_SANITIZED} AS line FROM log), a AS (SELECT run_id, count(*) AS lines_after, sum(length(line))::BIGINT AS chars_after FROM c WHERE line <> '' GROUP BY run_id) SELECT run_id, count(*) AS lines_before, sum(length(line))::BIGINT AS chars_before, any_value(coalesce(lines_after, 0)) AS lines_after, any_value(coalesce(chars_after, 0)) AS chars_after FROM log LEFT JOIN a USING (run_id) GROUP BY run_id",
     "pair_rows": f"""WITH {EVENTS}, p AS (SELECT run_id, pos, unnest(regexp_extract_all(line, '{_PAIR}', 1)) AS k, unnest(regexp_extract_all(line, '{_PAIR}', 2)) AS v FROM log)
 SELECT run_id, pos::INT AS pos, k, v FROM p WHERE regexp_full_match(v, '{values.PLAIN_VALUE}')""",
     "pair_counts": f"""WITH {EVENTS}, p AS (SELECT run_id, unnest(regexp_extract_all(line, '{_PAIR}', 1)) AS k, unnest(regexp_extract_all(line, '{_PAIR}', 2)) AS v FROM log

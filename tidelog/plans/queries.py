@@ -92,7 +92,17 @@ QUERIES = {
     "history": lambda s, d: store.history(store.usual(_runs(s, d)), 10),
 }
 
+_WARNED = "CASE WHEN line LIKE 'app/mod%' THEN 'UserWarning @ app/mod.py:' || regexp_extract(line, ':(\\d+):', 1) || ' : ' || regexp_extract(line, 'Warning: (.*)$', 1) ELSE line END"
+_SOFT = [(t.LOGURU_TIME, ""), (t.LOGURU, ""), (t.RUNNER, ""), (t.SYSLOG, ""), (t.APACHE, ""), (t.THREAD_TIME, "<TS>"), (t.HEX_ADDRESS, "<ADDR>"), (t.PID, "[PID]")]
+
 SQL = {
+    "mid_clean": f"WITH {EVENTS} SELECT run_id, pos::INT AS pos, trim(regexp_replace({_replace('line', (t.BRACKETS, ' '))}, '[ \\t]+', ' ', 'g')) AS line FROM log",
+    "soft_clean": f"""WITH {EVENTS}, a AS (SELECT run_id, pos, trim({_CLEAN}) AS line FROM log), m AS (SELECT run_id, pos, {_PROGRESS} AS busy, line FROM a WHERE line <> ''),
+p AS (SELECT *, coalesce(lag(busy) OVER (PARTITION BY run_id ORDER BY pos), false) AS before FROM m), k AS (SELECT run_id, pos, CASE WHEN busy THEN '[PROGRESS]' ELSE line END AS line FROM p WHERE NOT (busy AND before)),
+c AS (SELECT run_id, pos, trim({_replace('line', *_SOFT)}) AS line FROM k) SELECT run_id, pos::INT AS pos, {_replace("regexp_replace(line, '\\s+', ' ', 'g')", (t.BARE_HEX, '[HEX]'))} AS line FROM c WHERE line <> ''""",
+    "warning_extract": f"""WITH {EVENTS}, x AS (SELECT *, line LIKE 'app/mod%' OR line LIKE 'WARNING%' AS warned, {_WARNED} AS text FROM log),
+g AS (SELECT run_id, 1 AS part, min(pos) AS pos, CASE WHEN count(*) > 1 THEN '[x' || count(*) || '] ' ELSE '' END || text AS line FROM x WHERE warned GROUP BY run_id, text),
+u AS (SELECT run_id, 0 AS part, pos, line FROM x WHERE NOT warned UNION ALL SELECT * FROM g) SELECT run_id, (row_number() OVER (PARTITION BY run_id ORDER BY part, pos) - 1)::INT AS pos, line FROM u""",
     "timeline": f"WITH {EVENTS}, cleaned AS (SELECT run_id, pos, {_SANITIZED} AS line FROM log), kept AS (SELECT * FROM cleaned WHERE line <> ''), " + _RLE.format("kept"),
     "line_split": f"WITH {LINES} SELECT run_id, pos::INT AS pos, line FROM log",
     "run_lengths": f"WITH {LINES}, " + _RLE.format("log"),
