@@ -283,6 +283,28 @@ def test_sharding(spark):
     assert sharding.shard_documents(_docs(spark, [])).count() == 0
 
 
+def test_rows_alike_are_spread_over_parts_and_shards(spark):
+    rows = [(None, None)] * 9000 + [(i, f"t{i}") for i in range(6000)] + [(5, "t5")] * 3
+    got = sharding.shard_documents(_docs(spark, rows)).collect()
+    again = sharding.shard_documents(_docs(spark, rows[::-1]).repartition(5)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == len(rows)
+    for s in range(8):
+        own = [r for r in got if r["shard"] == s]
+        assert sorted(r["slot"] for r in own) == list(range(len(own))) and len(own) in (len(rows) // 8, len(rows) // 8 + 1)
+        alike = [r["slot"] for r in own if r["doc_id"] is None]
+        assert 900 < len(alike) < 1350 and np.mean(alike) / len(own) < 0.6 and max(alike) - min(alike) > 0.9 * len(own)
+
+
+def test_communication_matrix_by_brute_force():
+    """Over many seeds, as often as all ways to cut two parts' rows into shards have it."""
+    seen = {}
+    for seed in range(4000):
+        row = tuple(sharding.communication_matrix([3, 3], 2, seed)[0])
+        seen[row] = seen.get(row, 0) + 1
+    ways = {(k, 3 - k): len(list(itertools.combinations(range(3), k))) * len(list(itertools.combinations(range(3), 3 - k))) for k in range(4)}
+    assert set(seen) == set(ways) and all(abs(seen[k] / 4000 - n / sum(ways.values())) < 0.03 for k, n in ways.items())
+
+
 @pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 300, "stream_bytes": 400}])
 def test_passages(spark, sizes):
     rng = random.Random(7)
@@ -398,6 +420,35 @@ def test_language(spark):
     assert {(r["lang_pred"], r["score"]) for r in none} == {("und", 0.0)} and langid.identify(_docs(spark, [])).count() == 0
 
 
+def test_follow_the_leader_against_one_weight_at_a_time():
+    rng = np.random.default_rng(17)
+    n, rows = 3, [(np.sort(rng.choice(20, 5, replace=False)), rng.random(5)) for _ in range(40)]
+    labels = rng.integers(0, n, 40)
+    model = langid.Model(list("abc"), np.ones(langid.BUCKETS), np.zeros((20, n)))
+    langid.follow_the_leader(model, rows, labels)
+    z, s = [[0.0] * n for _ in range(20)], [[0.0] * n for _ in range(20)]
+
+    def weight(i, k):
+        if abs(z[i][k]) <= langid.L1:
+            return 0.0
+        sign = 1 if z[i][k] > 0 else -1
+        return -(z[i][k] - sign * langid.L1) / ((langid.BETA + s[i][k] ** 0.5) / langid.ALPHA + langid.L2)
+
+    for epoch in range(langid.EPOCHS):
+        for r in np.random.default_rng(epoch).permutation(40):
+            at, x = rows[r]
+            w = [[weight(i, k) for k in range(n)] for i in at]
+            score = [sum(w[j][k] * x[j] for j in range(5)) for k in range(n)]
+            top = sum(np.exp(v) for v in score)
+            for j, i in enumerate(at):
+                for k in range(n):
+                    g = x[j] * (np.exp(score[k]) / top - (labels[r] == k))
+                    rate = ((s[i][k] + g * g) ** 0.5 - s[i][k] ** 0.5) / langid.ALPHA
+                    z[i][k] += g - rate * w[j][k]
+                    s[i][k] += g * g
+    assert np.allclose(model.weights, [[weight(i, k) for k in range(n)] for i in range(20)], atol=1e-9) and (model.weights == 0).any()
+
+
 def test_language_sample_is_spread_evenly(spark):
     sizes = {f"l{i:02d}": 2000 + 400 * i for i in range(12)}
     rows = spark.createDataFrame([(k, f"{k} {i}") for k, n in sizes.items() for i in range(n)], "lang string, text string").withColumn("h", F.xxhash64("text"))

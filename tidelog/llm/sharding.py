@@ -12,9 +12,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_hot, written
 
-SHARDS, SEED, ROWS_IN_PART, MOST_PARTS = 8, 11, 4096, 65_536
+SHARDS, SEED, ROWS_IN_PART, MOST_PARTS, STRETCH = 8, 11, 4096, 65_536, 4096
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
@@ -44,16 +44,35 @@ def communication_matrix(counts: list[int], shards: int, seed: int = SEED) -> li
     return out
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """Rows alike in ``_h`` and ``_g`` numbered from 0 in ``_twin``; others have 0 there.
+
+    Twins are numbered by stretches of ``STRETCH`` rows as they lie, and stretches by running counts, so that not even a third of
+    all rows being alike brings many into one task. Which of the twins gets which number makes no difference to the result.
+    """
+    many = rows.groupBy("_h", "_g").count().where("count > 1").select("_h", "_g")
+    if many.isEmpty():
+        return rows.withColumn("_twin", F.lit(0).cast("long"))
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    twins = join_hot(rows.select("_row", "_h", "_g"), many, ["_h", "_g"]).withColumn("_cell", F.floor(F.col("_row") / STRETCH))
+    before = Window.partitionBy("_h", "_g").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = twins.groupBy("_h", "_g", "_cell").count().select("_h", "_g", "_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    turn = F.row_number().over(Window.partitionBy("_h", "_g", "_cell").orderBy("_row")) - 1
+    each = twins.withColumn("_turn", turn).join(starts, ["_h", "_g", "_cell"]).select("_row", (F.col("_start") + F.col("_turn")).alias("_twin"))
+    return rows.join(each, "_row", "left").withColumn("_twin", F.coalesce("_twin", F.lit(0).cast("long"))).drop("_row")
+
+
 def shuffle(rows: DataFrame, key: list[str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """All rows with two more columns, ``shard`` and ``slot``: a seeded uniform permutation cut into ``shards`` shards.
 
     Shards' counts are at most one apart; slots are gapless from 0 in each. ``key``: the columns that seed a row's place,
     nulls among them allowed; rows equal in all of them are interchangeable. An empty table gives no rows. Names that
-    begin with ``_`` are reserved. The same rows, keys and seed give the same shards however the rows are partitioned.
+    begin with ``_`` are reserved. ``rows`` must come out alike whenever they are read, as a stored table does. The same rows, keys and seed give the same shards however the rows are partitioned.
     The driver gets a count for each of at most ``MOST_PARTS`` parts.
     """
     keys = [F.col(f"`{c}`") for c in key]
-    rows = rows.withColumns({"_h": F.xxhash64(F.lit(seed), *keys), "_g": F.xxhash64(F.lit(seed + 1), *keys)})
+    hashes = lambda *more: {"_h": F.xxhash64(F.lit(seed), *keys, *more), "_g": F.xxhash64(F.lit(seed + 1), *keys, *more)}
+    rows = _told_apart(rows.withColumns(hashes())).withColumns(hashes(F.col("_twin"))).drop("_twin")
     total = rows.count()
     parts = min(MOST_PARTS, max(1, -(-total // ROWS_IN_PART)))
     rows = rows.withColumn("_part", F.pmod(F.col("_h"), F.lit(parts)).cast("int"))
