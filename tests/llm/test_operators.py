@@ -503,6 +503,17 @@ def _slow_parse(text):
     return out
 
 
+def test_parsing_in_blocks():
+    rng = random.Random(18)
+    for case in range(150):
+        letters = rng.choice(["ab", "abcdefgh ", "x"])
+        text = "".join(rng.choice(letters) * rng.choice([1, 1, 1, 2, 40]) for _ in range(rng.randrange(1, 300)))
+        assert (parsing._long_print(text, rng.choice([1, 7, 64, 5000])) == parsing.fingerprints([text])[0]).all(), text
+    assert _slow_parse(text) == parsing._long_print(text, 16).tolist()
+    long = "".join(rng.choices("abcdefgh ", k=1000)) * 1500
+    assert (parsing.fingerprints([long, "x"], 1000)[0] == parsing.fingerprints([long], 1 << 30)[0]).all()
+
+
 def _hex(values):
     return "".join(f"{v:04x}" for v in values)
 

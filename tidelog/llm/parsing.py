@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,8 @@ from .rolling import between, mix, prefix
 #: Slots of each level, from single characters to phrases of some fifty.
 SLOTS = (4, 4, 8, 24, 24)
 ROUNDS, EMPTY, CHUNK = 4, 0xFFFF, 1_500_000
+#: Texts of more characters are parsed block by block; symbols in a block.
+LONG, SYMBOLS = 1 << 20, 1 << 18
 #: Bytes of text in a range of documents, about; ranges are made up of parts, FINE of them for each.
 RANGE_BYTES, FINE = 64 << 20, 8
 NO_ID = -(2**63)
@@ -32,11 +35,15 @@ def _collapse(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     opens = first.copy()
     opens[1:] |= x[1:] != x[:-1]
     start = np.flatnonzero(opens)
-    length = np.diff(np.r_[start, len(x)])
-    out = x[start]
+    return _with_length(x[start], np.diff(np.r_[start, len(x)])), first[start]
+
+
+def _with_length(symbol: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Symbols of runs; lone ones stay as they are."""
     many = length > 1
+    out = symbol.copy()
     out[many] = mix(out[many] + length[many].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return out, first[start]
+    return out
 
 
 def _phrases(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -72,10 +79,66 @@ def levels(texts: list[str], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield mix(x + np.uint64(level)), first
 
 
-def fingerprints(texts: list[str]) -> np.ndarray:
-    """A row of ``sum(SLOTS)`` 16-bit values for each text; EMPTY where no phrase fell."""
+def _runs(blocks: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """As ``_collapse``, of one text in blocks: each block's last run waits for the next block."""
+    symbol, length = np.empty(0, np.uint64), 0
+    for x in blocks:
+        x = np.concatenate([symbol, x])
+        opens = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+        size = np.diff(np.r_[opens, len(x)])
+        size[0] += max(0, length - 1)
+        out = _with_length(x[opens], size)[:-1]
+        symbol, length = x[-1:], int(size[-1])
+        if len(out):
+            yield out
+    if length:
+        yield _with_length(symbol, np.array([length]))
+
+
+def _next_level(blocks: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """Hashes of the phrases of one text whose symbols come in blocks. What a block's end may still change waits for the next one."""
+    context = ROUNDS + 3
+    held, open_at, begins = np.empty(0, np.uint64), 0, True
+    for x in chain(_runs(blocks), [None]):
+        held = held if x is None else np.concatenate([held, x])
+        if not len(held):
+            return
+        first = np.zeros(len(held), bool)
+        first[0] = begins
+        starts = np.flatnonzero(_phrases(held, first)[: len(held) if x is None else max(0, len(held) - 3)])
+        cuts = np.array([open_at, *starts[starts > open_at], *[len(held)] * (x is None)], np.int64)
+        if len(cuts) > 1:
+            yield between(prefix(held), cuts[:-1], cuts[1:])
+        drop = max(0, int(cuts[-1]) - context)
+        held, open_at, begins = held[drop:], int(cuts[-1]) - drop, begins and not drop
+
+
+def _long_print(text: str, block: int = SYMBOLS) -> np.ndarray:
+    """The fingerprint of one text, a block at a time on all levels: memory doesn't grow with the text."""
+    least = [np.full(slots, np.iinfo(np.uint64).max, np.uint64) for slots in SLOTS]
+
+    def watched(blocks: Iterator[np.ndarray], level: int) -> Iterator[np.ndarray]:
+        for x in blocks:
+            names = mix(x + np.uint64(level))
+            np.minimum.at(least[level], (names % np.uint64(SLOTS[level])).astype(np.int64), names)
+            yield x
+
+    blocks = watched((np.frombuffer(text[i : i + block].encode("utf-32-le"), np.uint32).astype(np.uint64) for i in range(0, len(text), block)), 0)
+    for level in range(1, len(SLOTS)):
+        blocks = watched(_next_level(blocks), level)
+    for _ in blocks:
+        pass
+    found = np.concatenate(least)
+    return np.where(found < np.iinfo(np.uint64).max, mix(found) % np.uint64(EMPTY), np.uint64(EMPTY)).astype(np.uint16)
+
+
+def fingerprints(texts: list[str], long: int = LONG) -> np.ndarray:
+    """A row of ``sum(SLOTS)`` 16-bit values for each text; EMPTY where no phrase fell. Texts of more than ``long`` characters are parsed block by block."""
     out = np.full((len(texts), sum(SLOTS)), EMPTY, np.uint16)
-    full = [i for i, t in enumerate(texts) if t]
+    for i, t in enumerate(texts):
+        if len(t) > long:
+            out[i] = _long_print(t)
+    full = [i for i, t in enumerate(texts) if t and len(t) <= long]
     if full:
         at = 0
         for slots, (names, first) in zip(SLOTS, levels([texts[i] for i in full], len(SLOTS)), strict=True):
