@@ -378,6 +378,14 @@ def test_searched_words_are_bounded_by_characters():
     texts = [" ".join(["".join(rng.choices("abcdefghij", k=30)) for _ in range(200)] + [x]) for x in long]
     pieces.encode_batch(v, texts, 4)
     assert v.searched and all(len(w) <= pieces.LONG for w, _ in v.searched) and v.searched_chars == sum(len(w) for w, _ in v.searched)
+    word = "".join(rng.choices("abcde", k=400))  # longer than is remembered: the whole lattice at once
+    (ids, nbest), = pieces.encode_batch(v, [word], 6)
+    best = [[(0.0, ())]]
+    marked = pieces.MARK + word
+    for end in range(1, len(marked) + 1):
+        into = [(s + v.scores[k], (*path, k)) for i in range(max(0, end - v.longest), end) if (k := v.ids.get(marked[i:end])) is not None for s, path in best[i]]
+        best.append(sorted(into, reverse=True)[:6])
+    assert np.allclose([x["score"] for x in nbest], [s for s, _ in best[-1]]) and len(ids) > 50
     v.searched_chars = pieces.SEARCHED + 1
     v.search("another", 2)
     assert list(v.searched) == [("another", 2)]

@@ -10,6 +10,7 @@ Characters without a piece score below every piece and are written as bytes.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -108,13 +109,15 @@ class Vocabulary:
 
     def _search(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """Forward Viterbi, then A* from the end with its scores as heuristic."""
-        best, edges = [0.0], []
+        best = array("d", [0.0])
+
+        def into(end: int) -> list[tuple[int, float, int]]:
+            """The lattice's edges that end there; not kept, as a word may be a whole text."""
+            out = [(i, self.scores[k], k) for i in range(max(0, end - self.longest), end) if (k := self.ids.get(word[i:end])) is not None]
+            return out if word[end - 1] in self.ids else [*out, (end - 1, self.unknown, -1 - ord(word[end - 1]))]
+
         for end in range(1, len(word) + 1):
-            into = [(i, self.scores[k], k) for i in range(max(0, end - self.longest), end) if (k := self.ids.get(word[i:end])) is not None]
-            if word[end - 1] not in self.ids:
-                into.append((end - 1, self.unknown, -1 - ord(word[end - 1])))
-            edges.append(into)
-            best.append(max(best[i] + s for i, s, _ in into))
+            best.append(max(best[i] + s for i, s, _ in into(end)))
         # paths share their ends as linked cells; of equal ones the latest found goes on first
         agenda, found, pushed = [(-best[-1], 0, len(word), 0.0, None)], [], 0
         while agenda and len(found) < n:
@@ -126,9 +129,12 @@ class Vocabulary:
                     spelt.append(k)
                 found.append((score, spelt))
                 continue
-            for i, s, k in edges[at - 1]:
+            for i, s, k in into(at):
                 pushed -= 1
                 heapq.heappush(agenda, (-(best[i] + s + score), pushed, i, s + score, (k, path)))
+            if len(agenda) > 16 * n:
+                # the heuristic is exact: each entry stands for a path of its score, so those after the n best come to nothing
+                agenda = heapq.nsmallest(n, agenda)
         return [(float(score), tuple(x for k in path for x in ((k,) if k >= 0 else self.as_bytes(chr(-1 - k))))) for score, path in found]
 
     def look_up(self, codes: np.ndarray, name: np.ndarray, start: np.ndarray, size: np.ndarray, spell) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
