@@ -170,3 +170,15 @@ def test_a_failing_stage_falls_back(spark, monkeypatch):
     made = {r["run_id"]: r for r in compress.assemble(short).collect()}
     assert made["a"]["failed"] and made["b"]["text"] == "[T1] E: 'x'\n### Block 1\nExtracted Values:\n[#2] k"
     assert {r["run_id"]: r["text"] for r in compress.assemble(short, "pointer").collect()}["b"].endswith("[CONTEXT POINTERS]: [#2] k")
+
+
+def test_tracks_from_a_file(spark, tmp_path):
+    path = tmp_path / "tracks.toml"
+    path.write_text('fast = ["make"]\npassthrough = ["show "]\n')
+    lists = commands.read_lists(str(path))
+    assert lists["fast"] == ("make",) and lists["daemons"] == commands.DAEMONS
+    found = commands.classify(spark.createDataFrame([("make x",), ("show y",), ("cat y",)], "command string"), **lists)
+    assert [r["track"] for r in found.collect()] == ["rtk_fast", "passthrough", "full_pipe"]
+    path.write_text("other = []")
+    with pytest.raises(ValueError):
+        commands.read_lists(str(path))

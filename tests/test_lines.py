@@ -39,3 +39,29 @@ def test_lines_and_blocks(spark):
     assert [r["line"] for r in ln.split_lines(runs, "run_id", "text").orderBy("pos").collect()] == ["a", " b ", "c", "d"]
     got = ln.blocks_by_size(_lines(spark, "x" * 6, "y" * 3, "z" * 30, "w"), 10).orderBy("lo").collect()
     assert [(r["lo"], r["hi"]) for r in got] == [(1, 2), (3, 3), (4, 4)]
+
+
+def test_blocks_of_many_lines_and_global_dedup(spark):
+    import random
+
+    rng = random.Random(3)
+    sizes = [rng.randrange(60) for _ in range(30_000)]
+    lines = spark.createDataFrame([("a", i, "x" * n) for i, n in enumerate(sizes)], ln.SCHEMA)
+    got = sorted((r["lo"], r["hi"]) for r in ln.blocks_by_size(lines, 200).collect())
+    starts = [0, *ln.size_cuts(sizes, 200)]
+    assert got == [(a + 1, b) for a, b in zip(starts, [*starts[1:], len(sizes)])]
+    words = "a b c d e f g h i j k l".split()
+    rows = [" ".join(rng.sample(words, rng.randrange(0, 9))) for _ in range(300)] + ["pass_rate = 1", "pass_rate = 1"]
+    kept, want = [], []
+    for x in rows:
+        s = set(x.split()) if "=" not in x else {"pass", "rate", "1"}
+        if "pass_rate" in x or not any((len(s & k) / len(s | k) if s | k else 1.0) >= 0.6 for k in kept):
+            kept.append(s)
+            want.append(x)
+    df = spark.createDataFrame([("a", i, x) for i, x in enumerate(rows)], ln.SCHEMA)
+    assert [r["line"] for r in ln.fuzzy_dedup(df, 0.6, None).orderBy("pos").collect()] == want
+
+
+def test_raw_lines(spark):
+    runs = spark.createDataFrame([("a", "noise\n1.5s 3 12: \x1b[31mfirst\x1b[0m\n2.5s 4\tsecond\n\n3.5s 5 third"), ("b", None)], "id string, raw string")
+    assert [tuple(r)[1:] for r in ln.raw_lines(runs, "id", "raw", 2).orderBy("pos").collect()] == [(0, "first"), (1, "second")]

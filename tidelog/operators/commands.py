@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import shlex
+import tomllib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,18 @@ PASSTHROUGH = (
 DAEMONS = ("uvicorn", "vite", "next", "flask", "http.server", "runserver", "vim", "nano", "top", "htop", "less", "more", "man")
 
 
+LISTS = {"lossless": LOSSLESS, "fast": FAST, "passthrough": PASSTHROUGH, "daemons": DAEMONS}
+
+
+def read_lists(path: str) -> dict[str, tuple[str, ...]]:
+    """The tracks' commands from a TOML file with lists of these names; those it lacks are as above."""
+    with open(path, "rb") as f:
+        found = tomllib.load(f)
+    if unknown := set(found) - set(LISTS):
+        raise ValueError(f"unknown lists: {sorted(unknown)}")
+    return LISTS | {name: tuple(map(str, values)) for name, values in found.items()}
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def words(command: pd.Series) -> pd.Series:
     """Words of a command by the rules of a POSIX shell; null where quotes do not close or the command is null."""

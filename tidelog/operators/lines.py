@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,12 @@ def strip_header(lines: DataFrame) -> DataFrame:
     return lines.withColumn("first", F.coalesce(first, F.lit(0))).where("pos >= first").drop("first")
 
 
+def raw_lines(runs: DataFrame, run_id: str, text: str, most: int | None = None) -> DataFrame:
+    """A runner's log without its header, and its lines without the runner's marks; blank lines go. most: only so many lines of each run."""
+    lines = renumber(drop_blank(change(strip_header(split_lines(runs, run_id, text)), t.clean_runner_line)))
+    return lines if most is None else lines.where(F.col("pos") < most)
+
+
 def change(lines: DataFrame, *steps) -> DataFrame:
     x = F.col("line")
     for step in steps:
@@ -186,14 +194,25 @@ def block_of_lines(lines: DataFrame, size: int) -> DataFrame:
     return lines.groupBy("run_id", F.floor(F.col("pos") / size).cast("int").alias("block_no")).agg((F.min("pos") + 1).alias("lo"), (F.max("pos") + 1).alias("hi"))
 
 
-def _cuts(pdf: pd.DataFrame, cut) -> pd.DataFrame:
-    """Blocks that begin at line 0 and at the places that ``cut`` yields from the run's values in order."""
-    starts = [0, *cut(pdf.sort_values("pos")["value"].tolist())]
-    ends = [*starts[1:], len(pdf)]
-    return pd.DataFrame({"run_id": pdf["run_id"].iat[0], "block_no": range(len(starts)), "lo": [a + 1 for a in starts], "hi": ends})
+def _blocks(runs: DataFrame, start: Column, step) -> DataFrame:
+    """Blocks of runs whose ``values`` are in order of lines. ``step`` says from a state, a place and a value: the new state, and whether a block begins.
+
+    The fold keeps only the places where blocks begin, so it is linear in a run's lines.
+    """
+    first = F.struct(start.alias("state"), F.expr("cast(array() as array<int>)").alias("cuts"))
+
+    def fold(a: Column, x: Column) -> Column:
+        state, cuts = step(a["state"], x["i"], x["value"])
+        return F.struct(state.alias("state"), F.when(cuts, F.array_append(a["cuts"], x["i"])).otherwise(a["cuts"]).alias("cuts"))
+
+    placed = F.transform("values", lambda v, i: F.struct(i.alias("i"), v.alias("value")))
+    starts = runs.select("run_id", F.size("values").alias("n"), F.aggregate(placed, first, fold, lambda a: F.concat(F.array(F.lit(0)), a["cuts"])).alias("starts"))
+    each = F.transform("starts", lambda at, k: F.struct(k.alias("block_no"), (at + 1).alias("lo"), F.coalesce(F.get("starts", k + 1), F.col("n")).alias("hi")))
+    return starts.select("run_id", F.inline(each))
 
 
 def size_cuts(sizes: list[int], budget: int) -> Iterator[int]:
+    """The places, but 0, where blocks of up to ``budget`` characters begin."""
     used = -1
     for i, n in enumerate(sizes):
         used += n + 1
@@ -202,13 +221,15 @@ def size_cuts(sizes: list[int], budget: int) -> Iterator[int]:
             used = n
 
 
-BLOCKS = "run_id string, block_no int, lo int, hi int"
+def blocks_by_size(lines: DataFrame, budget: int = 15_000) -> DataFrame:
+    """Greedy blocks of up to ``budget`` characters, line ends included; a longer line is a block of its own. Only the lines' lengths are folded, in the JVM."""
+    runs = lines.groupBy("run_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.length("line").alias("n")))), lambda x: x["n"]).alias("values"))
 
+    def step(used: Column, i: Column, n: Column) -> tuple[Column, Column]:
+        cuts = (used + n + 1 > budget) & (i > 0)
+        return F.when(cuts, n).otherwise(used + n + 1), cuts
 
-def blocks_by_size(lines: DataFrame, budget: int = 15_000) -> DataFrame:
-    """Greedy blocks of up to ``budget`` characters, line ends included; a longer line is a block of its own. Only the lines' lengths are folded."""
-    sizes = lines.select("run_id", "pos", F.length("line").alias("value"))
-    return sizes.groupBy("run_id").applyInPandas(lambda pdf: _cuts(pdf, lambda x: size_cuts(x, budget)), BLOCKS)
+    return _blocks(runs, F.lit(-1), step)
 
 
 def line_time(x: Column, year: int = 2026) -> Column:
@@ -218,24 +239,24 @@ def line_time(x: Column, year: int = 2026) -> Column:
     return F.coalesce(t.elapsed_seconds(x), month.cast("double"), iso.cast("double"))
 
 
-def time_cuts(times: list[float], seconds: float) -> Iterator[int]:
-    since = times[0]
-    for i, at in enumerate(times[:-1]):
-        if at - since >= seconds:
-            yield i + 1
-            since = at
-
-
 def blocks_by_time(lines: DataFrame, seconds: float = 3000) -> DataFrame:
     """Blocks that close with the line ``seconds`` or more after their start; lines without a time have that before them.
 
-    The next block starts at that line's time, so a run's times, and nothing else of it, are folded in order.
+    The next block starts at that line's time, so a run's times, and nothing else of it, are folded in order, in the JVM.
     """
     last = F.last(line_time(F.col("line")), ignorenulls=True).over(_run())
     timed = lines.select("run_id", "pos", last.alias("at"))
     first = F.min_by("at", F.when(F.col("at").isNotNull(), F.col("pos"))).over(Window.partitionBy("run_id"))
-    timed = timed.select("run_id", "pos", F.coalesce(F.col("at") - first, F.lit(0.0)).alias("value"))
-    return timed.groupBy("run_id").applyInPandas(lambda pdf: _cuts(pdf, lambda x: time_cuts(x, seconds)), BLOCKS)
+    timed = timed.select("run_id", "pos", F.coalesce(F.col("at") - first, F.lit(0.0)).alias("at"))
+    runs = timed.groupBy("run_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "at"))), lambda x: x["at"]).alias("values"))
+    # a line that closes a block is the block's last: the line after it begins the next
+    start = F.struct(F.get("values", F.lit(0)).alias("since"), F.lit(False).alias("closed"))
+
+    def step(a: Column, i: Column, at: Column) -> tuple[Column, Column]:
+        closes = at - a["since"] >= seconds
+        return F.struct(F.when(closes, at).otherwise(a["since"]).alias("since"), closes.alias("closed")), a["closed"]
+
+    return _blocks(runs, start, step)
 
 
 def route(lines: DataFrame) -> DataFrame:
@@ -245,14 +266,40 @@ def route(lines: DataFrame) -> DataFrame:
     return lines.groupBy("run_id").agg(F.sum(F.length("line")).alias("chars")).withColumn("route", by_size(F.col("chars")))
 
 
+class _Kept:
+    """Kept lines' words, found by their first words in order: of two sets as like as ``least``, some of these are shared."""
+
+    def __init__(self, least: float):
+        self.least, self.by_word, self.sets = least, {}, []
+
+    def _first(self, words: frozenset) -> list[str]:
+        return sorted(words)[: len(words) - math.ceil(self.least * len(words) - 1e-9) + 1] or [""]
+
+    def add(self, words: frozenset) -> None:
+        for w in self._first(words):
+            self.by_word.setdefault(w, []).append(len(self.sets))
+        self.sets.append(words)
+
+    def near(self, words: frozenset) -> Iterator[frozenset]:
+        for i in {i for w in self._first(words) for i in self.by_word.get(w, ())}:
+            if self.least * len(words) <= len(self.sets[i]) + 1e-9 and self.least * len(self.sets[i]) <= len(words) + 1e-9:
+                yield self.sets[i]
+
+
+def _alike(a: frozenset, b: frozenset) -> float:
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
 def _fuzzy(pdf: pd.DataFrame, least: float, window: int | None) -> pd.DataFrame:
-    pdf, kept, out = pdf.sort_values("pos"), [], []
-    for i, (words, guarded) in enumerate(zip(pdf["words"], pdf["guarded"], strict=True)):
-        words = set(words)
-        recent = kept if window is None else kept[-window:]
-        if guarded or not any((len(words & k) / len(words | k) if words | k else 1.0) >= least for k in recent):
-            kept.append(words)
+    pdf, out = pdf.sort_values("pos"), []
+    kept, recent = _Kept(least), deque(maxlen=window)
+    for i, (words, guarded) in enumerate(zip(map(frozenset, pdf["words"]), pdf["guarded"], strict=True)):
+        if guarded or not any(_alike(words, x) >= least for x in (kept.near(words) if window is None else recent)):
             out.append(i)
+            if window is None:
+                kept.add(words)
+            else:
+                recent.append(words)
     return pdf.iloc[out][["run_id", "pos", "line"]]
 
 
