@@ -39,7 +39,7 @@ def test_runs_are_executed_stored_and_read(spark, tmp_path):
     say = lambda *args: cli.run(spark, cli.parser().parse_args(["--store", path, *args]))
     assert say("raw", "r3")[0].startswith("collected") and say("get", "r1", "1", "9") == ["{}", "(not found)"]
     shown = say("stats")[0]
-    assert shown.startswith("LogGuard session stats\n  Runs:           6\n") and "\n  Tracks:\n    full_pipe: 3\n" in shown and shown.endswith("  Subcommands:\n    run: 6\n")
+    assert shown.startswith("Session stats\n  Runs:           6\n") and "\n  Tracks:\n    full_pipe: 3\n" in shown and shown.endswith("  Subcommands:\n    run: 6\n")
     lines = say("history", "--limit", "2")
     assert len(lines) == 2 and lines[0].startswith("r5     0% saved") and "Mar 08" in lines[0]
     assert isinstance(cli.parser(), argparse.ArgumentParser)

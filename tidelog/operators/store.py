@@ -39,7 +39,7 @@ def first_by_id(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 # The dashboard's and the history's words and widths.
-DASHBOARD = ("LogGuard session stats", "  Runs:           %,d", "  Raw chars:      %,d", "  Compressed:     %,d", "  Chars saved:    %,d", "  Ratio:          %.2f%%", "  Tokens saved:   ~%,d (chars/4)")
+DASHBOARD = ("Session stats", "  Runs:           %,d", "  Raw chars:      %,d", "  Compressed:     %,d", "  Chars saved:    %,d", "  Ratio:          %.2f%%", "  Tokens saved:   ~%,d (chars/4)")
 WIDTHS = {"id": 6, "saved": 12, "chars": 16, "date": 8, "cmd": 24, "content": 24}
 
 
