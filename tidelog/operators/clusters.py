@@ -214,12 +214,22 @@ def payload(rows: DataFrame, stripped: bool = True, frequent_only: bool = True)
     return rows.groupBy("run_id").agg(F.concat(F.lit(head + "\n"), F.array_join(order, "\n")).alias("text"))
 
 
+# How a template marks what varies.
+MASK = re.compile(r"<:([^:>]+):>|<\*>")
+
+
+def _fixed(text: str) -> str:
+    """A pattern for what stands between a template's masks; any white space may stand for its own."""
+    space = r"\s+"
+    return space * text[:1].isspace() + space.join(map(re.escape, text.split())) + space * bool(text.strip() and text[-1:].isspace())
+
+
 def _pattern(template: str) -> tuple[re.Pattern | None, list[str]]:
     """What a template's masks stand for in a line, and the masks' names."""
-    masks = re.findall(r"<:([^:>]+):>|(<\*>)", template)
-    between = [r"\s+".join(re.escape(w) for w in re.split(r"(?<=\s)|\s+", x) if w) for x in re.split(r"<:[^:>]+:>|<\*>", template)]
-    gaps = [(r"\s+" * x[:1].isspace() + p + r"\s+" * x[-1:].isspace() if p else r"\s+" * bool(x)) for x, p in zip(re.split(r"<:[^:>]+:>|<\*>", template), between, strict=True)]
-    return (re.compile("^" + "(.+?)".join(gaps) + "$") if masks else None), [(name or "*").lower() for name, _ in masks]
+    masks = list(MASK.finditer(template))
+    ends = [0, *(x for m in masks for x in m.span()), len(template)]
+    between = [_fixed(template[a:b]) for a, b in zip(ends[::2], ends[1::2], strict=True)]
+    return (re.compile("^" + "(.+?)".join(between) + "$") if masks else None), [(m[1] or "*").lower() for m in masks]
 
 
 def line_parameters(line: str | None, template: str | None) -> dict[str, str] | None:
