@@ -123,6 +123,19 @@ def test_knapsack_against_all_sums():
     assert mixing.fit(many, np.full(len(many), 1000), 10**10 + 7)[1] @ many == 10**10 + 7
 
 
+def test_all_lengths_give_their_share():
+    for lengths in (np.arange(1, 2001), np.r_[np.arange(1, 1991), np.arange(10) * 9973 + 50_000]):
+        for share in (0.04, 0.3, 0.5, 0.9):
+            counts = np.ones(2000, np.int64)
+            target = 0.7 + int(share * lengths.sum())
+            copies, more = mixing.fit(lengths, counts, target)
+            assert copies == 0 and more @ lengths == int(target) and set(more) == {0, 1}
+            parts = [part.mean() for part in np.split(more[:1980], 10)]
+            # the last words of a gap fit the shortest documents alone, so these may give a few more
+            assert max(parts[1:]) - min(parts[1:]) < 0.05 and -0.05 < parts[0] - parts[1] < 0.1
+            assert lengths[-1] > 2000 or all(abs(part - share) < 0.05 for part in parts[1:])
+
+
 def test_mixing(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(["w"] * rng.choice([1, 1, 2, 7, 40])), "en", rng.choice(["a", "a", "a", "b", None])) for i in range(100, 400)] + [(*r, "en", "c") for r in ODD]

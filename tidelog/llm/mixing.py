@@ -1,9 +1,10 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 A source's whole copies come first; what is left of its target is filled from a count of its documents by exact length: a
-proportional share of each length, then the largest remainders. A bounded-knapsack dynamic program over the lengths then
-closes what remains, taking further documents and handing back some of those taken, so that the source's total is the
-largest that does not exceed its target. Within a length, seeded hashes say which documents are taken.
+proportional share of all lengths, the long as the short, but for the last words, which only short documents fit. A
+bounded-knapsack dynamic program over the lengths then closes what remains, taking further documents and handing back some of
+those taken, so that the source's total is the largest that does not exceed its target. Within a length, seeded hashes say
+which documents are taken.
 """
 
 from __future__ import annotations
@@ -101,17 +102,15 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = MOST
         return 0, np.zeros(len(counts), np.int64)
     copies = min(most, int(target // total))
     left = 0 if copies == most else int(target - copies * total)
-    share = counts * (left / total)
-    more = np.where(lengths > 0, np.minimum(np.floor(share).astype(np.int64), counts), 0)
-    left -= int((more * lengths).sum())
-    for i in np.lexsort((-lengths, more - share)):
-        if 0 < lengths[i] <= left and more[i] < counts[i]:
-            more[i] += 1
-            left -= int(lengths[i])
-    for i in np.argsort(-lengths, kind="stable"):
-        if lengths[i]:
-            n = min(int(counts[i] - more[i]), left // int(lengths[i]))
-            more[i], left = more[i] + n, left - n * int(lengths[i])
+    # shares are rounded down as they add up from the longest: every stretch of lengths gives its part, and the sum stays within what is
+    # left; each turn takes a document at least
+    order, more = np.argsort(-lengths, kind="stable"), np.zeros(len(counts), np.int64)
+    while (fits := np.where((lengths > 0) & (lengths <= left), counts - more, 0)).any():
+        words = int((fits * lengths).sum())
+        upto = np.cumsum(fits[order]).astype(object) * min(left, words) // words
+        new = np.zeros(len(counts), np.int64)
+        new[order] = np.diff(upto, prepend=0)
+        more, left = more + new, left - int((new * lengths).sum())
     real = lengths > 0
     more[real] += knapsack(lengths[real], (counts - more)[real], more[real], left, first)
     return copies, more
