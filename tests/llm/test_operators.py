@@ -3,8 +3,10 @@
 import hashlib
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -404,6 +406,47 @@ def test_searched_words_are_bounded_by_characters():
     assert list(v.searched) == [("another", 2)]
 
 
+def _peak_mb(run):
+    """What ``run`` gives, and the most memory that Python and numpy took for it at once."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_memory_is_bounded_by_lots():
+    """New words are tabled by lots, with the segmentations that one table of all gives; searched words are kept in few bytes."""
+    v, rng = pieces.Vocabulary(MODEL), random.Random(14)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 14))) for _ in range(60_000)]
+    (got,), peak = _peak_mb(lambda: pieces.encode_batch(v, [" ".join(words)], 4))
+    assert peak < 110, peak
+    few = pieces.Vocabulary(MODEL)
+    assert got[0].tolist() == [x for w in (words[i : i + 5000] for i in range(0, len(words), 5000)) for x in pieces.encode_batch(few, [" ".join(w)], 1)[0][0].tolist()]
+    v.searched, v.searched_chars = {}, 0
+    some = words[:3000]
+    (_, kept), _ = _peak_mb(lambda: ([v.search(w, 4) for w in some] and None, tracemalloc.get_traced_memory()[0] / 1e6))
+    assert kept * pieces.SEARCHED / v.searched_chars < 60, kept
+    assert [v.search(w, 4) for w in some] == [v._search(w, 4) for w in some]
+
+
+def test_workers_hold_no_strings_of_a_batch():
+    rng = random.Random(15)
+    texts = [" ".join(rng.choices(["bada", "gudu", "lomo", "straße"], k=4000)) for _ in range(400)]
+    batch = pa.RecordBatch.from_pydict({"h": pa.array(range(400)), "lang": ["aa"] * 400, "text": texts})
+    model = langid.Model(["aa", "bb"], np.ones(langid.BUCKETS), np.ones((langid.BUCKETS + 1, 2)))
+    assert sum(map(len, texts)) > 7_000_000
+    marks, peak = _peak_mb(lambda: simhash._fingerprints(batch.column("text")))
+    assert peak < 5 and marks.to_pylist() == list(map(simhash.fingerprint, texts))
+    langs, peak = _peak_mb(lambda: langid._predictions(batch.column("text"), model))
+    assert peak < 5 and langs.to_pylist() == [dict(zip(("lang", "score"), model.predict(t))) for t in texts]
+    (seen,), peak = _peak_mb(lambda: list(langid._document_frequencies(iter([batch]))))
+    assert peak < 5 and max(seen.column("n").to_pylist()) == len(texts)
+    rows, peak = _peak_mb(lambda: list(langid._sparse(iter([batch]))))
+    assert peak < 5 and [len(x) for x in rows] == [langid.LOT, 400 - langid.LOT]
+    assert [np.frombuffer(x, np.uint16).tolist() for b in rows for x in b.column("at").to_pylist()] == [langid.counts(t)[0].tolist() for t in texts]
+
+
 def test_pieces_against_all_paths_of_the_lattice():
     """The best paths over the whole text, position by position, as the slow twin of the search by words."""
     v, rng = pieces.Vocabulary(MODEL), random.Random(13)

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,11 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def each_text(texts: pa.Array) -> Iterator[str | None]:
+    """The texts of a batch one at a time: a worker holds the batch's bytes, not a string for each of its rows beside them."""
+    return (x.as_py() for x in texts)
+
+
 def whole_runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
     """From batches of rows sorted by ``key``, frames that hold each key's rows together."""
     kept: list[pd.DataFrame] = []

@@ -11,11 +11,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names
+from .common import each_text, free_names
 from .rolling import mix
 
 BUCKETS, ORDERS, UNKNOWN = 1 << 16, 3, "und"
@@ -23,6 +23,8 @@ BUCKETS, ORDERS, UNKNOWN = 1 << 16, 3, "und"
 MAX_TRAIN, EPOCHS = 6000, 2
 #: Buckets that the sample's rows hold in all, at most; long texts make it shorter.
 MAX_ENTRIES = 40_000_000
+#: Rows of n-gram counts that leave a worker at once.
+LOT = 256
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.02
 
 
@@ -99,20 +101,22 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def _document_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df = np.zeros(BUCKETS + 1, np.int64)
     for batch in batches:
-        for text in batch["text"]:
+        for text in each_text(batch.column("text")):
             df[counts(text)[0]] += 1
             df[BUCKETS] += 1
     found = np.flatnonzero(df)
-    yield pd.DataFrame({"bucket": found, "n": df[found]})
+    yield pa.RecordBatch.from_pydict({"bucket": pa.array(found, pa.int32()), "n": pa.array(df[found])})
 
 
-def _sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [counts(t) for t in batch["text"]]
-        yield pd.DataFrame({"h": batch["h"], "lang": batch["lang"], "at": [a.astype(np.uint16).tobytes() for a, _ in rows], "n": [np.minimum(n, 2**32 - 1).astype(np.uint32).tobytes() for _, n in rows]})
+        for at in range(0, len(batch), LOT):
+            part = batch.slice(at, LOT)
+            rows = [(a.astype(np.uint16).tobytes(), np.minimum(n, 2**32 - 1).astype(np.uint32).tobytes()) for a, n in map(counts, each_text(part.column("text")))]
+            yield pa.RecordBatch.from_pydict({"h": part.column("h"), "lang": part.column("lang"), "at": pa.array([a for a, _ in rows], pa.binary()), "n": pa.array([n for _, n in rows], pa.binary())})
 
 
 def learnable(doc_id: Column) -> Column:
@@ -142,11 +146,11 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     if not languages:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS + 1, 0)))
     df = np.zeros(BUCKETS + 1)
-    for r in rows.select("text").mapInPandas(_document_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("text").mapInArrow(_document_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         df[r["bucket"]] = r["n"]
     costs = [r[0] for r in _spread(rows.select("h", "lang", F.least(F.length("text") * ORDERS, F.lit(BUCKETS)).alias("cost")), sizes, max_train).select("cost").collect()]
     take = max(1, int(np.searchsorted(np.cumsum(costs), max_entries, "right"))) if costs else 0
-    sample = _spread(rows, sizes, max_train, take).mapInPandas(_sparse, "h long, lang string, at binary, n binary").collect()
+    sample = _spread(rows, sizes, max_train, take).mapInArrow(_sparse, "h long, lang string, at binary, n binary").collect()
     model = Model(languages, np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1, np.zeros((BUCKETS + 1, len(languages))))
     features = [model.features(np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["n"], np.uint32)) for r in sorted(sample, key=lambda r: (r["h"], r["lang"]))]
     labels = np.array([languages.index(r["lang"]) for r in sorted(sample, key=lambda r: (r["h"], r["lang"]))])
@@ -157,15 +161,17 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     return model
 
 
+def _predictions(texts: pa.Array, model: Model) -> pa.Array:
+    found = [model.predict(t) for t in each_text(texts)]
+    return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["lang", "score"])
+
+
 def predict(text: Column, model: Model) -> Column:
     """struct<lang, score> of each whole text; a text that is null or without letters is ``und`` with score 0. The weights, 256 kB a language, travel with the function."""
     weights = model.weights.astype(np.float32)
     shared = Model(model.languages, model.idf.astype(np.float32), weights, model.temperature)
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.predict(t) for t in texts], columns=["lang", "score"])
-
-    return F.pandas_udf(run, "lang string, score double")(text)
+    return F.arrow_udf(lambda texts: _predictions(texts, shared), "struct<lang:string,score:double>")(text)
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_train: int = MAX_TRAIN) -> DataFrame:

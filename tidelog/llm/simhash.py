@@ -14,11 +14,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, join_hot, whole_runs, written
+from .common import each_text, free_names, join_hot, whole_runs, written
 from .components import connected_components
 
 RADIUS, SEGMENTS, SHINGLE, SEED = 3, 2, 3, 42
@@ -44,13 +45,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint(t) for t in texts], dtype="int64")
+def _fingerprints(texts: pa.Array) -> pa.Array:
+    return pa.array(map(fingerprint, each_text(texts)), pa.int64())
 
 
 def simhash(text: Column) -> Column:
     """The fingerprint of a text as a signed long."""
-    return F.pandas_udf(_fingerprints, "long")(text)
+    return F.arrow_udf(_fingerprints, "long")(text)
 
 
 def hex64(value: Column) -> Column:
